@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tracewarden.llm import piece_bpe
+from tracewarden.llm import bin_packing, cross_parse, line_quality, piece_bpe, secret_scan
 
 QUERIES = {
+    "op1_randomness_battery": secret_scan.op1_randomness_battery,
+    "op5_cross_parsing": cross_parse.op5_cross_parsing,
+    "op8_best_fit_packing": bin_packing.op8_best_fit_packing,
+    "op9_line_first_cleaning": line_quality.op9_line_first_cleaning,
     "op10_piece_bpe": piece_bpe.op10_piece_bpe,
 }
 
