@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewarden.llm import bin_packing, cross_parse, line_quality, piece_bpe, secret_scan
+from tracewarden.llm import bin_packing, cross_parse, line_quality, piece_bpe, secret_scan, toxicity
 
 QUERIES = {
     "op1_randomness_battery": secret_scan.op1_randomness_battery,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_cross_parsing": cross_parse.op5_cross_parsing,
     "op8_best_fit_packing": bin_packing.op8_best_fit_packing,
     "op9_line_first_cleaning": line_quality.op9_line_first_cleaning,
