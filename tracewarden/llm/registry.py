@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracewarden.llm import bin_packing, cross_parse, jaccard_join, line_quality, piece_bpe, secret_scan, toxicity
+from tracewarden.llm import bin_packing, cross_parse, interpolated_lm, jaccard_join, line_quality, piece_bpe, secret_scan, toxicity
 
 QUERIES = {
+    "op2_interpolated_lm": interpolated_lm.op2_interpolated_lm,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op1_randomness_battery": secret_scan.op1_randomness_battery,
     "op3_toxicity": toxicity.op3_toxicity,
