@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tracewarden.llm import bin_packing, cross_parse, interpolated_lm, jaccard_join, line_quality, piece_bpe, secret_scan, toxicity
+from tracewarden.llm import bin_packing, cross_parse, interpolated_lm, jaccard_join, line_dedup, line_quality, piece_bpe, secret_scan, toxicity, vector_links
 
 QUERIES = {
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_collision_counting": vector_links.op7_collision_counting,
     "op2_interpolated_lm": interpolated_lm.op2_interpolated_lm,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op1_randomness_battery": secret_scan.op1_randomness_battery,
@@ -15,4 +17,4 @@ QUERIES = {
     "op10_piece_bpe": piece_bpe.op10_piece_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}
