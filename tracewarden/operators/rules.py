@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewarden.functions.timeparse import local_hour
@@ -18,9 +18,18 @@ from tracewarden.operators.patterns import first_hit, first_seen, greedy_gap, ta
 from tracewarden.schema import DEFAULTS, HOME, SEVERITY, Thresholds
 
 TIME = ["timestamp", "seq"]
-BY_USER = Window.partitionBy("user_id").orderBy(*TIME)
-SO_FAR = BY_USER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY_USER.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_user() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy(*TIME)
+
+
+def so_far() -> WindowSpec:
+    return by_user().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before_it() -> WindowSpec:
+    return by_user().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def is_event(*kinds: str) -> Column:
@@ -66,27 +75,27 @@ def out_of_hours(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def impossible_travel(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    rows = events.withColumn("_place", F.lag("location").over(BY_USER)).withColumn("_ts", F.lag("timestamp").over(BY_USER))
+    rows = events.withColumn("_place", F.lag("location").over(by_user())).withColumn("_ts", F.lag("timestamp").over(by_user()))
     moved = (F.col("_place") != HOME) & (F.col("location") != HOME) & (F.col("_place") != F.col("location"))
     return alerts(rows.filter(moved & (F.col("timestamp") - F.col("_ts") < t.travel_seconds)), "IMPOSSIBLE_TRAVEL", 5)
 
 
 def multi_country_hopping(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     k, seconds = t.country_changes
-    before = F.lag("location").over(BY_USER)
+    before = F.lag("location").over(by_user())
     moved = events.withColumn("_moved", (F.col("location") != HOME) & (before.isNull() | (before != F.col("location")))).filter("_moved")
     return alerts(greedy_gap(tail(moved, "user_id", TIME, k, seconds, "location", t.countries), "user_id", k), "MULTI_COUNTRY_HOPPING", 6)
 
 
 def sessions(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """events with `_open` (a session is open before the event), `_over` (its start lies too far back; 0 if none) and `_segment` (logins so far)."""
-    n = F.row_number().over(BY_USER)
-    rows = events.withColumn("_n", n).withColumn("_ts", F.lag("timestamp").over(BY_USER))
-    rows = rows.withColumn("_login", F.max(F.when(is_event("LOGIN"), F.col("_n"))).over(BEFORE))
-    rows = rows.withColumn("_logout", F.max(F.when(is_event("LOGOUT"), F.col("_n"))).over(BEFORE))
+    n = F.row_number().over(by_user())
+    rows = events.withColumn("_n", n).withColumn("_ts", F.lag("timestamp").over(by_user()))
+    rows = rows.withColumn("_login", F.max(F.when(is_event("LOGIN"), F.col("_n"))).over(before_it()))
+    rows = rows.withColumn("_logout", F.max(F.when(is_event("LOGOUT"), F.col("_n"))).over(before_it()))
     # rows are in time order, so the latest login's time is the greatest
-    rows = rows.withColumn("_start", F.coalesce(F.max(F.when(is_event("LOGIN"), F.col("timestamp"))).over(BEFORE), F.lit(0)))
-    rows = rows.withColumn("_segment", F.count_if(is_event("LOGIN")).over(SO_FAR))
+    rows = rows.withColumn("_start", F.coalesce(F.max(F.when(is_event("LOGIN"), F.col("timestamp"))).over(before_it()), F.lit(0)))
+    rows = rows.withColumn("_segment", F.count_if(is_event("LOGIN")).over(so_far()))
     is_open = F.col("_login").isNotNull() & (F.col("_login") > F.coalesce("_logout", F.lit(0))) & (F.col("_ts") - F.col("_start") <= t.session_seconds)
     return rows.withColumn("_open", F.coalesce(is_open, F.lit(False))).withColumn("_over", F.col("timestamp") - F.col("_start") > t.session_seconds)
 
@@ -112,15 +121,15 @@ def rapid_session(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def brute_force_success(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    rows = events.withColumn("_n", F.row_number().over(BY_USER))
-    rows = rows.withColumn("_other", F.coalesce(F.max(F.when(~is_event("FAILED_LOGIN"), F.col("_n"))).over(BEFORE), F.lit(0)))
+    rows = events.withColumn("_n", F.row_number().over(by_user()))
+    rows = rows.withColumn("_other", F.coalesce(F.max(F.when(~is_event("FAILED_LOGIN"), F.col("_n"))).over(before_it()), F.lit(0)))
     return alerts(rows.filter(is_event("LOGIN") & (F.col("_n") - 1 - F.col("_other") >= t.failures_before_login)), "BRUTE_FORCE_SUCCESS", 11)
 
 
 def dormant_account(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     k, seconds = t.dormant_burst
-    rows = events.withColumn("_woke", F.coalesce(F.col("timestamp") - F.lag("timestamp").over(BY_USER) > t.dormant_seconds, F.lit(False)))
-    rows = rows.withColumn("_wake", F.count_if("_woke").over(SO_FAR)).filter("_wake > 0")
+    rows = events.withColumn("_woke", F.coalesce(F.col("timestamp") - F.lag("timestamp").over(by_user()) > t.dormant_seconds, F.lit(False)))
+    rows = rows.withColumn("_wake", F.count_if("_woke").over(so_far())).filter("_wake > 0")
     w = Window.partitionBy("user_id", "_wake").orderBy(*TIME)
     rows = rows.withColumn("_nth", F.row_number().over(w)).withColumn("_from", F.first("timestamp").over(w))
     return alerts(rows.filter((F.col("_nth") == k) & (F.col("timestamp") - F.col("_from") <= seconds)), "DORMANT_ACCOUNT", 12)

@@ -6,6 +6,8 @@ import json
 import uuid
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def manifest(spark: SparkSession, path: str) -> dict | None:
         return None
     try:
         got = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
-    except ValueError:
+    except (ValueError, Py4JJavaError, PySparkException):  # cut short, overwritten or unreadable
         return None
     return got if isinstance(got, dict) and got.get("magic") == MAGIC else None
 
