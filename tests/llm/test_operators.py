@@ -409,7 +409,8 @@ def test_line_rules():
     rules = line_quality.LineRules()
     assert line_quality.line_verdict("Home | About | Contact | Login", rules) == "navigation"
     assert line_quality.line_verdict("All rights reserved by us.", rules) == "boilerplate"
-    assert line_quality.line_verdict("=== 12 %% 34 && 56 ===", rules) == "few letters"
+    assert line_quality.line_verdict("=== 12 == 34 -- 56 ===", rules) == "few letters"
+    assert line_quality.line_verdict("A### sentence$$$ full%%% of marks.", rules) == "symbols"
     assert line_quality.line_verdict("A sentence with words, as they come.", rules) == ""
 
 

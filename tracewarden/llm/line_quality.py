@@ -3,7 +3,7 @@
 Words are runs of characters other than ASCII white space. Per text: counts over the whole
 text (words, their characters, symbols, repeated lines, words in repeated windows), the
 kept lines, and a verdict. Line rules: a navigation line (several separators between short
-parts), a boilerplate phrase, a line of symbols and digits with few letters. A document is
+parts), a boilerplate phrase, over one symbol in two words, few letters. A document is
 rejected if the lines it lost hold more than `max_lost` of its word characters, or if
 too few of its lines end as sentences do; the latter only for texts of `min_lines` lines.
 
@@ -37,6 +37,7 @@ class LineRules:
     nav_separators: int = 3
     nav_words: float = 4.0
     min_letters: float = 0.4
+    max_symbols: float = 0.5
     max_lost: float = 0.5
     min_lines: int = 20
     min_ended: float = 0.05
@@ -63,7 +64,10 @@ def line_verdict(line: str, rules: LineRules) -> str:
         found = len(SEPARATOR.findall(line))
         if found >= rules.nav_separators and len(line.split()) - found <= rules.nav_words * (found + 1):
             return "navigation"
-    solid = line.encode("utf-8", "surrogatepass").translate(None, SPACES)
+    raw = line.encode("utf-8", "surrogatepass")
+    if sum(map(line.count, SYMBOLS)) > rules.max_symbols * len(raw.split()):
+        return "symbols"
+    solid = raw.translate(None, SPACES)
     if len(solid) - len(solid.translate(None, PLAIN)) > (1 - rules.min_letters) * len(solid):
         return "few letters"
     return ""
@@ -151,3 +155,45 @@ def op9_line_first_cleaning(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = clean_lines(docs, keep_text=False)
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "lines_failed", F.round("lost", 9).alias("lost"))
+
+
+def _sql() -> str:
+    rules = LineRules()
+    phrases = ", ".join(f"'{p}'" for p in rules.phrases)
+    ends = ", ".join("'" + e.replace("'", "''") + "'" for e in ENDS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i+4]) AS n FROM pos),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win WHERE n > 1) GROUP BY doc_id),
+line AS (SELECT doc_id, l, rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)),
+seen AS (
+  SELECT *, len(regexp_extract_all(l, '\s[|»›>•·/]\s|\t')) AS marks, len(list_filter(string_split_regex(l, '\s+'), lambda x: x <> '')) AS parts,
+         octet_length(encode(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g'))) AS size, length(regexp_replace(l, '[^!-@\[-`{{-~]', '', 'g')) AS odd,
+         length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars
+  FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), judged AS (
+  SELECT *, (len(list_filter([{phrases}], lambda p: contains(lower(l), p))) > 0
+    OR (marks >= {rules.nav_separators} AND parts - marks <= {rules.nav_words}::DOUBLE * (marks + 1))
+    OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > {rules.max_symbols}::DOUBLE * len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> ''))
+    OR odd > (1 - {rules.min_letters}::DOUBLE) * size) AS bad
+  FROM seen
+), per AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (WHERE bad) AS lines_failed, coalesce(sum(chars) FILTER (WHERE bad), 0) AS lost,
+         count(*) AS filled, count(*) FILTER (WHERE right(bare, 1) IN ({ends})) AS ended
+  FROM judged GROUP BY doc_id
+), a AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(lines_failed, 0) AS lines_failed, coalesce(lost, 0) AS gone, coalesce(filled, 0) AS filled, coalesce(ended, 0) AS ended
+  FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id
+), b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed, CASE WHEN word_chars > 0 THEN CAST(gone AS DOUBLE) / word_chars ELSE 0::DOUBLE END AS share FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND share <= {rules.max_lost}::DOUBLE AND (filled < {rules.min_lines} OR ended >= {rules.min_ended}::DOUBLE * filled) AS kept,
+       lines_failed, round(share, 9) AS lost
+FROM b
+"""
+
+
+ORACLE = _sql()

@@ -147,3 +147,15 @@ def op7_collision_counting(spark, sf_dir: str) -> DataFrame:
     """Contract query: links and component of every vector."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return link_vectors(vectors)
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x),
+reach(x, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, reach.r FROM reach JOIN links l ON reach.x = l.x)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.x JOIN (SELECT x, min(r) AS component_id FROM reach GROUP BY x) c ON e.vec_id = c.x
+"""
