@@ -60,12 +60,15 @@ def generate(spark: SparkSession, rows: int = 10_000_000, seed: int = 42) -> Dat
             some = some.withColumn(c, v(step) if callable(v) else v)
         return some
 
-    def text(prefix: str) -> object:
-        return lambda s: F.concat(F.lit(prefix), F.lpad((s + 1).cast("string"), 4, "0"))
+    attack = F.floor(F.col("id") / PERIOD)
+
+    def text(prefix: str, each: int = 0) -> object:
+        """Numbered names; `each` new ones in every attack."""
+        return lambda s: F.concat(F.lit(prefix), F.lpad((attack * each + s + 1).cast("string"), 4, "0"))
 
     theft = planted(1, 6, event_type=F.lit("DOWNLOAD"), resource_id=text("RX"), timestamp=lambda s: night + s * 10)
     lateral = planted(7, 5, event_type=F.lit("OPEN_APP"), app_id=text("APPX"), timestamp=lambda s: F.col("timestamp") + s * 5)
-    device = planted(12, 4, event_type=F.lit("LOGIN"), user_id=text("UX"), device_id=F.lit("DX0001"), timestamp=lambda s: F.col("timestamp") + 30 + s * 10)
+    device = planted(12, 4, event_type=F.lit("LOGIN"), user_id=text("UX", 4), device_id=F.concat(F.lit("DX"), F.lpad((attack + 1).cast("string"), 4, "0")), timestamp=lambda s: F.col("timestamp") + 30 + s * 10)
     every = base.unionByName(theft).unionByName(lateral).unionByName(device)
     return with_position(every, "id", "k").select(*FIELDS, "seq")
 
