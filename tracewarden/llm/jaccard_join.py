@@ -12,7 +12,9 @@ fewer words, of the whole sequence. Equal sets form one class, and classes are j
    its estimated cost: postings read, plus verifications that l matches still let through.
 3. Pairs are verified by whole sets. Classes first meet the centre of their prefix hashes;
    pairs inside a component found so are settled, since they change no component. All other
-   pairs with enough shared prefix hashes are verified then, whatever their number.
+   pairs with enough shared prefix hashes are verified then, whatever their number: pairs
+   of hashes with few classes one by one, and classes that hashes of many classes connect
+   in tiles, which compare two blocks of whole sets at once.
 
 Texts without words have empty sets and link with nothing, as do null texts. Repeated rows
 are members of one class. Rows with a null id are kept; a component's id is the least
@@ -31,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import WordHashes, materialise, split_count, window_hashes, word_bytes
+from tracewarden.llm.common import WordHashes, discard, materialise, split_count, window_hashes, word_bytes
 from tracewarden.llm.components import components
 
 PART_HASHES = 2_000_000  # hashes a part handles at once
 MOST_MATCHES = 12
+CENTRE_TURNS = 2
+FEW, BLOCK = 64, 1024  # classes of a hash that pairs are listed for; classes of a block of a cluster
 
 
 def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -231,58 +235,146 @@ def fits(a: str, b: str, numerator: int, denominator: int):
     return (F.least(a, b) * denominator) >= (F.greatest(a, b) * numerator)
 
 
-def linked_classes(docs: DataFrame, total: int, width: int, numerator: int, denominator: int, text: str) -> DataFrame | None:
-    """(node, root) of the classes that link with another."""
+def linked_classes(docs: DataFrame, total: int, width: int, numerator: int, denominator: int, text: str, scratch: list[DataFrame]) -> DataFrame:
+    """(node, root) of the classes that link with another. `scratch` gets the tables to delete when that is stored."""
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        scratch.append(materialise(df, tag))
+        return scratch[-1]
+
     parts = split_count(total, PART_HASHES)
     if parts > 60_000:
         parts = 60_000  # a part's number has 16 bits; larger parts then
     blocks = deal_sets(docs, width, parts, text)
     shared = blocks.repartition(parts, "part").groupBy("part").applyInPandas(shared_hashes(parts), SHARED)
     ready = shared.repartition(parts, "bucket").groupBy("bucket").applyInPandas(prepare(numerator, denominator), PREPARED)
-    ready = materialise(ready, "sets")
+    ready = keep(ready, "sets")
     sets = ready.select("class_id", "n", "shared")
     index = ready.select(F.col("class_id").alias("c"), "n", "matches", F.explode("prefix").alias("h"))
     size = (numerator, denominator)
 
-    def centre_links(entries: DataFrame, turn: int, most: int) -> DataFrame:
-        """Each class against the centres of its hashes that it shares most of them with, of another component."""
+    def centre_links(entries: DataFrame, turn: int) -> DataFrame:
+        """Each class against the centre of another component that it shares most prefix hashes with."""
         rank = F.struct(F.xxhash64("c", F.lit(turn)).alias("k"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         centres = entries.groupBy("h").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")).filter("lo.b != hi.b")
         met = entries.join(centres, "h").select("c", "n", "root", F.explode(F.array("lo", "hi")).alias("o"))
         met = met.filter((F.col("o.rb") != F.col("root")) & fits("n", "o.nb", *size)).groupBy("c", F.col("o.b").alias("b")).agg(F.count("*").alias("k"))
-        best = met.groupBy("c").agg(F.max_by(F.struct("b"), F.struct("k", "b")).alias("x")) if most == 1 else None
-        return verify(best.select(F.least("c", "x.b").alias("a"), F.greatest("c", "x.b").alias("b")).distinct(), sets, *size)
-
-    links, roots = None, None
-    for turn in range(3):
-        if roots is None:
-            entries = index.withColumn("root", F.col("c"))
-        else:
-            entries = index.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        new = centre_links(entries, turn, 1)
-        links = new if links is None else links.unionByName(new)
-        links = materialise(links, "links")
-        roots = materialise(components(links), "roots")
-    entries = index.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed = entries.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("h")
-    entries = materialise(entries.join(mixed, "h"), "open")
-    one = entries.select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("matches").alias("la"), F.col("root").alias("ra"))
-    two = entries.select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("lb"), F.col("root").alias("rb"))
+        best = met.groupBy("c").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        return verify(best.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct(), sets, *size)
+
+    def with_roots(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return index.withColumn("root", F.col("c"))
+        roots = components(links).withColumnRenamed("node", "c")
+        return index.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+    links = None
+    for turn in range(CENTRE_TURNS):
+        new = centre_links(with_roots(links), turn)
+        links = keep(new if links is None else links.unionByName(new), "links")
+    entries = with_roots(links)
+    mixed = entries.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("h", "size")
+    entries = keep(entries.join(mixed, "h"), "open")
+    few = entries.filter(F.col("size") <= FEW)
+    one = few.select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("matches").alias("la"), F.col("root").alias("ra"))
+    two = few.select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("lb"), F.col("root").alias("rb"))
     met = one.join(two, "h").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb", *size))
+    # a pair that shares a hash of many classes, too, is among the tiles, so fewer matches than asked for mean nothing is lost
     rest = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("la", "lb")).alias("l")).filter("k >= l")
-    links = materialise(links.unionByName(verify(rest, sets, *size)), "links")
+    links = links.unionByName(verify(rest, sets, *size)).unionByName(tile_links(entries.filter(F.col("size") > FEW), sets, *size))
     return components(links)
 
 
+def tile_links(entries: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) that join what links among classes that share a hash of many classes.
+
+    Classes that such hashes connect are a cluster; its classes are dealt to blocks, and each
+    two blocks are compared in one task by counting common hashes of all their pairs in a
+    matrix. No pair leaves the task but the links of a spanning forest.
+    """
+    stars = entries.groupBy("h").agg(F.min("c").alias("b")).join(entries.select("h", F.col("c").alias("a")), "h").select("a", "b").distinct()
+    clusters = materialise(components(stars).select(F.col("node").alias("class_id"), F.col("root").alias("cluster")), "clusters")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class_id", F.lit(3)), F.col("blocks").cast("long")).cast("int")
+    dealt = clusters.join(blocks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("class_id", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"))
+    tiles = dealt.join(sets, "class_id").groupBy("cluster", "i", "j")
+
+    def run(tile: pa.Table) -> pa.Table:
+        side = np.array(tile.column("side").to_pylist())
+        name = np.array(tile.column("class_id").to_pylist(), dtype=np.int64)
+        n = np.array(tile.column("n").to_pylist(), dtype=np.int64)
+        held = [np.frombuffer(s.as_py(), np.int64) for s in tile.column("shared")]
+        left = np.flatnonzero(side == 0)
+        right = left if tile.column("alone")[0].as_py() else np.flatnonzero(side == 1)
+        both = common_counts([held[k] for k in left], [held[k] for k in right])
+        hit = denominator * both >= numerator * (n[left][:, None] + n[right][None, :] - both)
+        a, b = np.nonzero(hit)
+        a, b = left[a], right[b]
+        a, b = a[a != b], b[a != b]
+        root = np.arange(len(name))
+        while len(a):
+            least, before = np.minimum(root[a], root[b]), root.copy()
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+            if (root == before).all():
+                break
+        some = np.flatnonzero(root != np.arange(len(name)))
+        return pa.table({"a": pa.array(name[some], pa.int64()), "b": pa.array(name[root[some]], pa.int64())})
+
+    return tiles.applyInArrow(run, "a long, b long")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of all pairs of sets: common elements in a matrix product, rare ones pair by pair."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    if not len(left) or not len(right):
+        return out
+    names, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    split = sum(map(len, left))
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    col = [at[:split], at[split:]]
+    count = [np.bincount(c, minlength=len(names)) for c in col]
+    many = count[0] * count[1] > 4000
+    for lo in range(0, int(many.sum()), 1024):
+        place = np.full(len(names), -1)
+        chosen = np.flatnonzero(many)[lo : lo + 1024]
+        place[chosen] = np.arange(len(chosen))
+        dense = []
+        for r, c, x in zip(row, col, (left, right), strict=True):
+            m = np.zeros((len(x), len(chosen)), dtype=np.float32)
+            k = place[c] >= 0
+            m[r[k], place[c[k]]] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    rare = ~many & (count[0] > 0) & (count[1] > 0)
+    order = [np.argsort(c, kind="stable") for c in col]
+    start = [np.cumsum(c) - c for c in count]
+    chosen = np.flatnonzero(rare)
+    for lo in range(0, len(chosen), 20_000):
+        some = chosen[lo : lo + 20_000]
+        a, b = count[0][some], count[1][some]
+        total = a * b
+        cell = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        wide = np.repeat(b, total)
+        x = row[0][order[0][np.repeat(start[0][some], total) + cell // wide]]
+        y = row[1][order[1][np.repeat(start[1][some], total) + cell % wide]]
+        out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, numerator: int = 75, denominator: int = 100) -> DataFrame:
     """docs without text, with n_shingles, class_id and component_id (the least id reachable by links)."""
     rows = materialise(class_rows(docs, width, text), "classes")
     classes = rows.filter("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias("_least"), F.max("n_shingles").alias("_n"))
     total = classes.agg(F.sum("_n")).first()[0] or 0
-    roots = linked_classes(docs, total, width, numerator, denominator, text)
+    scratch: list[DataFrame] = []
+    roots = linked_classes(docs, total, width, numerator, denominator, text, scratch)
     placed = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("_root", F.coalesce("root", "class_id")).select("class_id", "_least", "_root")
     ids = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
     placed = materialise(placed.join(ids, "_root").select("class_id", "component_id"), "placed")
+    for table in scratch:
+        discard(docs.sparkSession, table)
     out = rows.join(placed, "class_id", "left")
     return out.withColumn("component_id", F.coalesce("component_id", F.col(id_col)))
 
@@ -291,3 +383,18 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Contract query: set size and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, v FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i+4]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS v FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, reach.r FROM reach JOIN edges e ON reach.x = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(r) AS component_id FROM reach GROUP BY x) c ON d.doc_id = c.x
+"""

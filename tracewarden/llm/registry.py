@@ -17,4 +17,9 @@ QUERIES = {
     "op10_piece_bpe": piece_bpe.op10_piece_bpe,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": jaccard_join.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op7_collision_counting": vector_links.ORACLE,
+    "op9_line_first_cleaning": line_quality.ORACLE,
+}
