@@ -21,14 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import materialise
+from tracewarden.llm.common import discard, materialise
 
 SPACES = "[\\x20\\x09-\\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def words_of(line: Column) -> Column:
-    """Words between ASCII white space."""
-    return F.filter(F.split(line, SPACES), lambda w: w != "")
+    """Words between ASCII white space; of a line without any, one empty word."""
+    return F.split(F.btrim(line, F.lit(BLANKS)), SPACES)
+
+
+def line_hashes(marks: str) -> list[Column]:
+    """Two hashes of a line's word hashes, which name it."""
+    return [F.xxhash64(marks).alias("h1"), F.xxhash64(F.lit(1), marks).alias("h2")]
 
 
 def half_keys(words: str, n: str, least: int) -> Column:
@@ -44,69 +50,114 @@ def half_keys(words: str, n: str, least: int) -> Column:
 
 
 def without(words: str, at: str) -> Column:
-    """The words but the one at a place from 1 (0: all of them)."""
+    """The elements but the one at a place from 1 (0: all of them)."""
     w, k = F.col(words), F.col(at)
     return F.when(k == 0, w).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0)))))
 
 
+SIEVE_BITS, PAGE = 1 << 23, 1 << 15  # a sieve has at most a megabyte, whatever goes in
+
+
+def sieve(members: DataFrame, column: str) -> DataFrame:
+    """(page, bits): a bitmap of the hashes of a column's values, in at most SIEVE_BITS / PAGE rows."""
+    place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+    return members.select(F.floor(place / PAGE).cast("int").alias("page"), (place % PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
+    """df with `_in`: false only where the column's value is none of the members'."""
+    held = F.broadcast(sieve(members, column))
+    place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+    rows = df.withColumn("_page", F.floor(place / PAGE).cast("int")).withColumn("_bit", (place % PAGE).cast("int"))
+    rows = rows.join(held, F.col("_page") == F.col("page"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("_bit % 8")
+    one = F.when(F.col("bits").isNotNull(), F.floor(byte / F.pow(F.lit(2), bit)) % 2 == 1)
+    return rows.withColumn("_in", F.coalesce(one, F.lit(False))).drop("_page", "_bit", "page", "bits")
+
+
 def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text: str, min_words: int) -> DataFrame:
-    """(h1, h2) of distinct lines with an earlier line within one word."""
-    keys = distinct.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("half")
-    some = materialise(keys.join(shared, "half").select("h1", "h2").distinct(), "halves")
+    """(h1, h2) of distinct lines with an earlier line within one word. docs have `doc` and key columns."""
+    keys = lines.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("halves").alias("half"))
+    shared = materialise(keys.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("half"), "halves")
+    # the sieve lets few others through, so what is joined exactly is small
+    some = marked(keys, "half", shared).filter("_in").drop("_in").join(shared, "half").select("h1", "h2").distinct()
     # the earliest place of such a line tells where to read its words
-    places = distinct.join(some, ["h1", "h2"]).select("first")
-    here = F.struct(F.col("key.absent").alias("absent"), F.col("key.id").alias("id"), F.col("key.text").alias("text"), F.col("line_no").alias("line_no"))
-    held = docs.select("key", text).join(places.select(F.col("first.absent").alias("a"), F.col("first.id").alias("i"), F.col("first.text").alias("t"), F.col("first.line_no").alias("line_no")).groupBy("a", "i", "t").agg(F.collect_set("line_no").alias("line_nos")), F.col("key.absent").eqNullSafe(F.col("a")) & F.col("key.id").eqNullSafe(F.col("i")) & (F.col("key.text") == F.col("t")))
-    held = held.select("key", F.explode("line_nos").alias("line_no"), F.split(text, "\n").alias("all"))
-    found = held.select(here.alias("first"), words_of(F.element_at("all", F.col("line_no") + 1)).alias("words")).dropDuplicates(["first"])
-    found = found.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(1), "words"))
-    whole = F.aggregate(F.transform("words", lambda w: F.xxhash64(w)), F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h))
+    places = materialise(distinct.join(some, ["h1", "h2"]).select(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), "first"), "places")
+    held = marked(docs.select("doc", text), "doc", places.select("doc")).filter("_in").drop("_in").dropDuplicates(["doc"])
+    found = held.join(places, "doc").select("first", words_of(F.element_at(F.split(text, "\n"), F.col("line_no") + 1)).alias("words"))
+    found = found.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
+    found = found.select("first", "words", "marks", *line_hashes("marks"))
+    whole = F.aggregate("marks", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h))
     found = materialise(found.withColumn("whole", whole), "candidates")
     marks = F.concat(
         F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("whole", F.size("words")).alias("mark"))),
-        F.transform("words", lambda w, k: F.struct((k + 1).alias("at"), F.xxhash64(F.col("whole").bitwiseXOR(F.xxhash64(w)), F.size("words") - 1).alias("mark"))),
+        F.transform("marks", lambda h, k: F.struct((k + 1).alias("at"), F.xxhash64(F.col("whole").bitwiseXOR(h), F.size("words") - 1).alias("mark"))),
     )
     variants = found.select("h1", "h2", F.explode(marks).alias("v")).select("h1", "h2", "v.at", "v.mark")
     met = variants.groupBy("mark").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("mark")
     hits = variants.join(met, "mark").select("h1", "h2", "at")
-    rest = hits.join(found, ["h1", "h2"]).withColumn("rest", without("words", "at"))
-    rest = rest.select("h1", "h2", "first", F.xxhash64("rest").alias("r1"), F.xxhash64(F.lit(1), "rest").alias("r2"), "rest")
-    # the earliest of a group, with its words: equal words that remain are an edit distance of one at most
-    best = rest.groupBy("r1", "r2").agg(F.min(F.struct("first", "rest")).alias("best"))
-    gone = rest.join(best, ["r1", "r2"]).filter((F.col("best.first") < F.col("first")) & (F.col("best.rest") == F.col("rest")))
-    return gone.select("h1", "h2").distinct()
+    rest = hits.join(found.select("h1", "h2", "first", "marks"), ["h1", "h2"]).withColumn("rest", without("marks", "at"))
+    rest = rest.select("h1", "h2", "first", F.xxhash64("rest").alias("r1"), F.xxhash64(F.lit(1), "rest").alias("r2"))
+    best = rest.groupBy("r1", "r2").agg(F.min("first").alias("best"))
+    # all lines of a group are within the bound of its earliest; of a line's groups the earliest counts
+    pairs = rest.join(best, ["r1", "r2"]).filter(F.col("best") < F.col("first")).groupBy("h1", "h2").agg(F.min("best").alias("best"))
+    one = found.select("h1", "h2", F.col("words").alias("a"))
+    two = found.select(F.col("first").alias("best"), F.col("words").alias("b"))
+    gone = materialise(pairs.join(one, ["h1", "h2"]).join(two, "best").filter(one_edit("a", "b")).select("h1", "h2"), "gone")
+    for table in (shared, places, found):
+        discard(docs.sparkSession, table)
+    return gone
+
+
+def one_edit(a: str, b: str) -> Column:
+    """Whether one word inserted, deleted or replaced makes one sequence the other: all but one of the longer lie in a common start and end."""
+    x, y = F.col(a), F.col(b)
+    short, long = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+
+    def common(x: Column, y: Column) -> Column:
+        equal = F.zip_with(F.slice(x, F.lit(1), short), F.slice(y, F.lit(1), short), lambda v, w: v == w)
+        at = F.array_position(equal, F.lit(False))
+        return F.when(at == 0, short).otherwise(at - 1)
+
+    return common(x, y) + common(F.reverse(x), F.reverse(y)) >= long - 1
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
     """docs with the lines that stay, and n_lines (lines with a word), n_exact and n_near (lines that went)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    key = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    keyed = docs.select(*own, key.alias("key"))
-    lines = keyed.select("key", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select("key", "line_no", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words"))
-    lines = lines.select("key", "line_no", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), half_keys("words", "n", min_words).alias("halves"))
+    # rows with equal id and text are one text: (null or not, id, hash of the text), which orders them, too
+    doc = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
+    keyed = docs.select(*own, doc.alias("doc"))
+    lines = keyed.select("doc", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select("doc", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
+    # from here on a word is its hash, which is hashed once
+    lines = lines.select("doc", "line_no", F.transform(F.split("line", SPACES), lambda w: F.xxhash64(w)).alias("marks")).withColumn("n", F.size("marks"))
+    lines = lines.select("doc", "line_no", "n", *line_hashes("marks"), half_keys("marks", "n", min_words).alias("halves"))
     lines = materialise(lines, "lines")
-    here = F.struct(F.col("key.absent").alias("absent"), F.col("key.id").alias("id"), F.col("key.text").alias("text"), "line_no")
-    distinct = materialise(lines.filter("n > 0").groupBy("h1", "h2").agg(F.min(here).alias("first"), F.min("n").alias("n"), F.min("halves").alias("halves")), "distinct")
+    here = F.struct("doc", "line_no")
+    distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")), "distinct")
     gone = near_lines(keyed, lines, distinct, text, min_words).withColumn("near", F.lit(True))
-    fate = distinct.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left")
-    told = lines.select("key", "line_no", "n", "h1", "h2").join(fate, ["h1", "h2"], "left")
-    later = F.col("first").isNotNull() & (F.col("first") < here)
-    told = told.select("key", "line_no", "n", F.when(later, 1).when(F.coalesce("near", F.lit(False)), 2).otherwise(0).alias("fate"))
-    # rows with equal id and text give a line more than once
-    each = told.groupBy("key", "line_no").agg(F.max("n").alias("n"), F.max("fate").alias("fate"))
-    flags = each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "n", "fate"))), lambda x: F.struct(x["n"].alias("n"), x["fate"].alias("fate"))).alias("flags"))
-    out = keyed.join(flags.select(F.col("key").alias("_key"), "flags"), F.col("key").eqNullSafe(F.col("_key")), "left")
-    stay = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: F.get("flags", k)["fate"] == 0), "\n")
-
-    def number(test) -> Column:
-        return F.coalesce(F.size(F.filter("flags", test)), F.lit(0)).cast("long")
-
+    odd = distinct.join(gone, ["h1", "h2"], "left").filter((F.col("copies") > 1) | F.col("near"))
+    later = F.col("first") < here
+    lost = lines.select("doc", "line_no", "h1", "h2").join(odd, ["h1", "h2"]).filter(later | F.col("near")).select("doc", "line_no", later.alias("later"))
+    places = lost.groupBy("doc").agg(F.collect_set(F.when(F.col("later"), F.col("line_no"))).alias("exact"), F.collect_set(F.when(~F.col("later"), F.col("line_no"))).alias("near"))
+    places = materialise(places, "lost")
+    for table in (lines, distinct):
+        discard(docs.sparkSession, table)
+    # texts that lose nothing are not moved
+    told = marked(keyed, "doc", places.select("doc"))
+    unchanged = told.filter("not _in").withColumn("exact", F.array().cast("array<int>")).withColumn("near", F.array().cast("array<int>"))
+    changed = told.filter("_in").join(places.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    out = unchanged.unionByName(changed.withColumn("exact", F.coalesce("exact", F.array().cast("array<int>"))).withColumn("near", F.coalesce("near", F.array().cast("array<int>"))))
+    all_lines = F.split(text, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.concat("exact", "near"))
+    kept = F.when(F.size("exact") + F.size("near") == 0, F.col(text)).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(all_lines, k + 1)), "\n"))
+    filled = F.size(F.filter(all_lines, lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
     return out.select(
-        *[F.when(F.col(text).isNotNull(), stay).alias(text) if c == text else F.col(c) for c in own],
-        number(lambda x: x["n"] > 0).alias("n_lines"),
-        number(lambda x: x["fate"] == 1).alias("n_exact"),
-        number(lambda x: x["fate"] == 2).alias("n_near"),
+        *[kept.alias(text) if c == text else F.col(c) for c in own],
+        F.when(F.col(text).isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
+        F.size("exact").cast("long").alias("n_exact"),
+        F.size("near").cast("long").alias("n_near"),
     )
 
 
