@@ -158,6 +158,31 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_tries_every_group(spark):
+    """A line whose earliest group fails or whose changes lie far apart: the rows are those of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(17)
+    lines = ["A x B C D E F G H", "A B y C D E F G H", "A B z C D E F G H", "x b c d e f g h i j k l", "b c d e f g h i j k l y", "k l m n o p q r s", "k l m n o p q r"]
+    for n in (8, 9, 10, 14):
+        for _ in range(40):
+            w = [rnd.choice("pqrstuvw") + str(n) for _ in range(n)]
+            lines.append(" ".join(w))
+            for _ in range(3):
+                v = list(w)
+                v.pop(rnd.randrange(len(v)))
+                v.insert(rnd.randrange(len(v) + 1), rnd.choice("pqrs"))
+                lines.append(" ".join(v))
+    texts = [(k, line) for k, line in enumerate(lines)]
+    folder = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_lines(folder).collect()}
+    assert got[2] == got[4] == got[6] == 1 and got[0] == got[3] == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    want = con.execute(line_dedup.ORACLE).fetchall()
+    assert got == {r[0]: r[3] for r in want}
+
+
 def test_language_model(docs, rows, none, monkeypatch):
     monkeypatch.setattr(interpolated_lm, "BLOCK_CHARS", 3000)
     monkeypatch.setattr(interpolated_lm, "PART_CHARS", 9000)

@@ -2,14 +2,14 @@
 
 Lines are compared as sequences of words (between ASCII white space). Of equal lines the
 earliest stays, by (id, line number). A line of `min_words` words or more also goes if an
-earlier one lies within one word inserted, deleted or replaced: both then have a variant
-with at most one word left out that is equal. Variants are joined as hashed keys, and the
-words that remain are compared themselves. A group of lines with the same variant needs
-no pairs: all of them are within the bound of its earliest.
+earlier one has an equal variant, with at most one word left out: one word inserted, deleted
+or replaced, or one word taken away and another put in at a different place. Variants are
+joined as hashed keys, and the words that remain are compared themselves. A group of lines
+with the same variant needs no pairs: all of them but its earliest go.
 
-Before variants are made, lines without a possible partner are set aside exactly: within
-one edit, the first half or the last half of the shorter line's words occurs unchanged at
-the same end of the other, so a line that shares none of its four half keys has none.
+Before variants are made, lines without a possible partner are set aside exactly: lines with
+an equal variant have a third of their words in common, at the same end or in the middle, so
+a line that shares none of its six part keys has no partner.
 
 Lines without a word always stay. Null texts stay null, empty ones empty. Rows with equal
 id and text are taken as one text and get equal results; a null id comes after all others.
@@ -37,16 +37,23 @@ def line_hashes(marks: str) -> list[Column]:
     return [F.xxhash64(marks).alias("h1"), F.xxhash64(F.lit(1), marks).alias("h2")]
 
 
-def half_keys(words: str, n: str, least: int) -> Column:
-    """Hashes of the first and last half, for the line as the shorter of a pair and as the longer."""
+def part_keys(words: str, n: str, least: int) -> Column:
+    """Hashes of thirds of a line: two lines with an equal variant have one in common.
+
+    Of lines with as many words: the first or the last third if a word left out lies in the
+    middle or both lie in the same third, else the middle, one place further in one of them.
+    If one line is a word longer, its first or last third by the size of the shorter.
+    """
     w, size = F.col(words), F.col(n)
 
-    def keys(s: Column) -> list[Column]:
-        first = F.floor(s / 2).cast("int")
-        last = (s - first).cast("int")
-        return [F.xxhash64(F.lit(0), s, F.slice(w, F.lit(1), first)), F.xxhash64(F.lit(1), s, F.slice(w, -last, last))]
+    def ends(s: Column) -> list[Column]:
+        third = F.floor(s / 3).cast("int")
+        return [F.xxhash64(F.lit(0), s, F.slice(w, F.lit(1), third)), F.xxhash64(F.lit(1), s, F.slice(w, -third, third))]
 
-    return F.when(size < least, F.array().cast("array<bigint>")).when(size == least, F.array(*keys(size))).otherwise(F.array(*keys(size), *keys(size - 1)))
+    third = F.floor(size / 3).cast("int")
+    middle = [F.xxhash64(F.lit(2), size, F.slice(w, start, size - 2 * third)) for start in (third + 1, third)]
+    own = [*ends(size), *middle]
+    return F.when(size < least, F.array().cast("array<bigint>")).when(size == least, F.array(*own)).otherwise(F.array(*own, *ends(size - 1)))
 
 
 def without(words: str, at: str) -> Column:
@@ -77,11 +84,11 @@ def marked(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text: str, min_words: int) -> DataFrame:
-    """(h1, h2) of distinct lines with an earlier line within one word. docs have `doc` and key columns."""
-    keys = lines.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = materialise(keys.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("half"), "halves")
+    """(h1, h2) of distinct lines with a variant that an earlier line has, too. docs have `doc` and key columns."""
+    keys = lines.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("parts").alias("part"))
+    shared = materialise(keys.groupBy("part").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("part"), "parts")
     # the sieve lets few others through, so what is joined exactly is small
-    some = marked(keys, "half", shared).filter("_in").drop("_in").join(shared, "half").select("h1", "h2").distinct()
+    some = marked(keys, "part", shared).filter("_in").drop("_in").join(shared, "part").select("h1", "h2").distinct()
     # the earliest place of such a line tells where to read its words
     places = materialise(distinct.join(some, ["h1", "h2"]).select(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), "first"), "places")
     held = marked(docs.select("doc", text), "doc", places.select("doc")).filter("_in").drop("_in").dropDuplicates(["doc"])
@@ -98,31 +105,19 @@ def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text: str
     met = variants.groupBy("mark").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("mark")
     hits = variants.join(met, "mark").select("h1", "h2", "at")
     rest = hits.join(found.select("h1", "h2", "first", "marks"), ["h1", "h2"]).withColumn("rest", without("marks", "at"))
-    rest = rest.select("h1", "h2", "first", F.xxhash64("rest").alias("r1"), F.xxhash64(F.lit(1), "rest").alias("r2"))
-    best = rest.groupBy("r1", "r2").agg(F.min("first").alias("best"))
-    # all lines of a group are within the bound of its earliest; of a line's groups the earliest counts
-    pairs = rest.join(best, ["r1", "r2"]).filter(F.col("best") < F.col("first")).groupBy("h1", "h2").agg(F.min("best").alias("best"))
+    rest = rest.select("h1", "h2", "first", "at", F.xxhash64("rest").alias("r1"), F.xxhash64(F.lit(1), "rest").alias("r2"))
+    best = rest.groupBy("r1", "r2").agg(F.min(F.struct("first", "at")).alias("best"))
+    # all lines of a group go but its earliest; every group of a line counts, and its words are compared in each
+    pairs = rest.join(best, ["r1", "r2"]).filter(F.col("best.first") < F.col("first")).select("h1", "h2", "at", F.col("best.first").alias("best"), F.col("best.at").alias("best_at"))
     one = found.select("h1", "h2", F.col("words").alias("a"))
     two = found.select(F.col("first").alias("best"), F.col("words").alias("b"))
-    gone = materialise(pairs.join(one, ["h1", "h2"]).join(two, "best").filter(one_edit("a", "b")).select("h1", "h2"), "gone")
+    same = pairs.join(one, ["h1", "h2"]).join(two, "best").filter(without("a", "at") == without("b", "best_at"))
+    gone = materialise(same.select("h1", "h2").distinct(), "gone")
     for table in (shared, places, found):
         discard(docs.sparkSession, table)
     return gone
 
 
-def one_edit(a: str, b: str) -> Column:
-    """Whether one word inserted, deleted or replaced makes one sequence the other: all but one of the longer lie in a common start and end."""
-    x, y = F.col(a), F.col(b)
-    short, long = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
-
-    def common(x: Column, y: Column) -> Column:
-        equal = F.zip_with(F.slice(x, F.lit(1), short), F.slice(y, F.lit(1), short), lambda v, w: v == w)
-        at = F.array_position(equal, F.lit(False))
-        return F.when(at == 0, short).otherwise(at - 1)
-
-    return common(x, y) + common(F.reverse(x), F.reverse(y)) >= long - 1
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
     """docs with the lines that stay, and n_lines (lines with a word), n_exact and n_near (lines that went)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
@@ -132,7 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     lines = keyed.select("doc", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select("doc", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
     # from here on a word is its hash, which is hashed once
     lines = lines.select("doc", "line_no", F.transform(F.split("line", SPACES), lambda w: F.xxhash64(w)).alias("marks")).withColumn("n", F.size("marks"))
-    lines = lines.select("doc", "line_no", "n", *line_hashes("marks"), half_keys("marks", "n", min_words).alias("halves"))
+    lines = lines.select("doc", "line_no", "n", *line_hashes("marks"), part_keys("marks", "n", min_words).alias("parts"))
     lines = materialise(lines, "lines")
     here = F.struct("doc", "line_no")
     distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")), "distinct")
