@@ -236,6 +236,22 @@ def test_secrets(docs, rows, none, spark):
     assert {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}[200] is None
 
 
+def test_secrets_glued_to_names_and_paths(spark):
+    rnd = random.Random(12)
+    plain, url = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "-_"
+    keys = ["".join(rnd.choice(plain) for _ in range(64)) for _ in range(4)]
+    paths = ["".join(rnd.choice(plain + url) for _ in range(30)) + "-_" + "".join(rnd.choice(plain + url) for _ in range(32)) for _ in range(2)]
+    texts = [f"export GH_PAT={keys[0]} end", f"x?sig={keys[1]}&a=1", f"A_KEY={keys[2]}== z", f"GET /v1/keys/{paths[0]} now", f"see /api/{paths[1]}/edit", f"in my-user_data/{keys[3]}-old"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # the battery is what is asked about here, not how many discoveries a table of six allows
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"} for r in secret_scan.find_secrets(docs, fdr=0.5).collect()}
+    for k, secret in enumerate((keys[0], keys[1], keys[2] + "==", *paths, keys[3])):
+        assert secret in found[k]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, fdr=0.5).collect()}
+    assert clean[0] == "export GH_PAT=[SECRET] end" and not any(s in clean[k] for k, s in enumerate((keys[0], keys[1], keys[2], *paths, keys[3])))
+    assert secret_scan.candidates("a" * 19 + "=" + "b" * 20 + "=") == [(20, 41)] and secret_scan.candidates("c" * 18 + "==") == [(0, 20)]
+
+
 def test_battery_tells_random_from_regular():
     rnd = random.Random(1)
     passed = sum(secret_scan.battery("".join(rnd.choice("0123456789abcdef") for _ in range(40)))[1] >= 0.001 for _ in range(200))

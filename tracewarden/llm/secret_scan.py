@@ -1,7 +1,10 @@
 """Secrets in texts: known patterns, and strings that a battery of randomness tests takes for random.
 
-Candidates are runs of 20 or more characters of base-64 alphabets. Each gets the narrowest
-encoding that holds its characters (hex, base 32, base 36, base 62, base 64 and its URL form).
+Candidates are runs of 20 or more characters of base-64 alphabets, split at '=' but for the
+padding at their end. Each gets the narrowest encoding that holds its characters (hex, base
+32, base 36, base 62, base 64 and its URL form). Where none does, since '+' or '/' and '-'
+or '_' occur, the parts between '+' and '/', those between '-' and '_' and those between any
+of the four are candidates, if they have 20 or more characters; they may overlap.
 Two questions are asked:
  * Could it be random? Chi-squared uniformity over the alphabet, Wald-Wolfowitz runs about
    the middle symbol and lag-one serial correlation must each keep p >= `battery_p`.
@@ -37,6 +40,8 @@ ASSIGN = re.compile(
 STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
+PART = re.compile("[^=]+(?:=+$)?")
+MIXED = tuple(re.compile(p) for p in ("[^+/=]+(?:=+$)?", "[^_=-]+(?:=+$)?", "[^+/_=-]+(?:=+$)?"))
 RUN = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -108,6 +113,17 @@ def battery(token: str) -> tuple[str, float, float]:
     return ENCODINGS[at][0], min(1.0, 3 * min(p_chi, p_runs, p_serial)), -math.log10(p_language)
 
 
+def candidates(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run that are tested: each in one alphabet, STRATA[0] characters or more."""
+    out = set()
+    for part in PART.finditer(run):
+        a, token = part.start(), part.group()
+        mixed = any(c in token for c in "+/") and any(c in token for c in "-_")
+        found = [m.span() for p in MIXED for m in p.finditer(token)] if mixed else [(0, len(token))]
+        out |= {(a + b, a + e) for b, e in found if e - b >= STRATA[0]}
+    return sorted(out)
+
+
 def find_patterns(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the pattern spans, in code points."""
     out = []
@@ -138,11 +154,11 @@ def scan(docs: DataFrame, text: str = "text", battery_p: float = 0.001) -> DataF
         for run in RUN.finditer(text):
             a, token = run.start(), run.group()
             spans += [(a + m.start(), a + m.end(), 2) for m in HEX.finditer(token) if m.end() - m.start() >= 32]
-            if len(token) >= STRATA[0]:
-                encoding, p, away = battery(token)
+            for b, e in candidates(token):
+                encoding, p, away = battery(token[b:e])
                 if encoding != "none":
-                    stratum = sum(len(token) >= s for s in STRATA) - 1
-                    tested.append({"start": a, "end": run.end(), "encoding": encoding, "random": p >= battery_p, "stratum": stratum, "cell": min(CELLS - 1, int(away / CELL))})
+                    stratum = sum(e - b >= s for s in STRATA) - 1
+                    tested.append({"start": a + b, "end": a + e, "encoding": encoding, "random": p >= battery_p, "stratum": stratum, "cell": min(CELLS - 1, int(away / CELL))})
         return [dict(zip(("start", "end", "kind"), s, strict=True)) for s in sorted(spans, key=lambda s: (s[0], s[2], s[1]))], tested
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
