@@ -323,6 +323,25 @@ def test_languages(spark, docs, none):
     assert {r["lang_pred"] for r in cross_parse.identify(docs, cross_parse.learn(labelled.limit(0))).collect()} == {"und"}
 
 
+def test_letters_beyond_the_commonest_are_not_merged():
+    """Two languages in disjoint letters of one large script, all beyond the 200 that have a symbol each."""
+    rnd = random.Random(5)
+    common = "".join(chr(0x4E00 + k) for k in range(200))
+    scripts = {"x": [chr(0x5500 + k) for k in range(300)], "y": [chr(0x6500 + k) for k in range(300)]}
+    samples = {k: ["".join(rnd.choice(v) for _ in range(3000))] for k, v in scripts.items()} | {"z": [common * 40]}
+    parser = cross_parse.Parser(samples)
+    assert len({parser.alphabet.symbols(c).tobytes() for v in scripts.values() for c in v}) == 600
+    texts = ["".join(rnd.choice(scripts["xy"[k % 2]]) for _ in range(300)) for k in range(20)]
+    phrases, _ = parser.parse(texts)
+    bits = phrases * np.array(parser.bits)
+    assert [parser.langs[j] for j in bits.argmin(axis=1)] == ["x", "y"] * 10
+    # the columns of the table and the list give the same phrases
+    wide = cross_parse.Parser(samples, most_letters=1000)
+    mixed = [*texts, scripts["x"][3] + "a" + scripts["y"][4] + ", " + common[:50], "".join(rnd.choice(common + "".join(scripts["x"]) + "ab ") for _ in range(700))]
+    assert len(parser.keys) and not len(wide.keys)
+    assert np.array_equal(parser.parse(mixed)[0], wide.parse(mixed)[0])
+
+
 def test_phrases_are_the_longest_matches():
     rnd = random.Random(3)
     samples = {k: ["".join(rnd.choice(letters) for _ in range(400))] for k, letters in (("x", "abcd "), ("y", "cdef "))}

@@ -5,7 +5,9 @@ parsed greedily into the longest phrases that occur in a language's sample; phra
 log2 of the sample's length, over the text's length, estimate the cross entropy, and the
 language with the least wins (ties: the first by name). Letters are lower-cased, runs of
 other characters count as one space. Texts are parsed in windows of `window` symbols, all
-of them, many side by side: one table look-up a symbol, window and language.
+of them, many side by side: one table look-up a symbol, window and language. Every letter of
+the samples has a symbol of its own; the table has a column for the `most_letters`
+commonest, transitions by other letters lie in a sorted list.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no
 language was learned. An empty table gives an empty table; other columns are kept.
@@ -57,18 +59,21 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Alphabet:
-    """Code points as symbols: 0 for runs of non-letters, 1 for letters that no sample has."""
+    """Code points as symbols: 0 for runs of non-letters, 1 for letters that no sample has; those from `size` on are of `more` letters."""
 
-    def __init__(self, letters: list[str]):
+    def __init__(self, letters: list[str], more: list[str] | tuple = ()):
         self.size = len(letters) + 2
-        self.of = {c: k + 2 for k, c in enumerate(letters)}
-        self.table = np.full(0x110000, 255, dtype=np.uint8)
+        self.total = self.size + len(more)
+        self.of = {c: k + 2 for k, c in enumerate([*letters, *more])}
+        kind = np.uint8 if self.total < 255 else np.uint32
+        self.unknown = np.iinfo(kind).max
+        self.table = np.full(0x110000, self.unknown, dtype=kind)
 
     def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         got = self.table[points]
-        if (got == 255).any():
-            for p in np.unique(points[got == 255]).tolist():
+        if (got == self.unknown).any():
+            for p in np.unique(points[got == self.unknown]).tolist():
                 c = chr(p)
                 self.table[p] = self.of.get(c, RARE) if c.isalpha() else SPACE
             got = self.table[points]
@@ -88,23 +93,44 @@ class Parser:
                 for c in t.lower():
                     if c.isalpha():
                         count[c] = count.get(c, 0) + 1
-        self.alphabet = Alphabet(sorted(sorted(count, key=lambda c: (-count[c], c))[:most_letters]))
+        order = sorted(count, key=lambda c: (-count[c], c))
+        self.alphabet = Alphabet(sorted(order[:most_letters]), sorted(order[most_letters:]))
+        self.dead, keys, to_state = [], [], []
         size, tables, self.start, self.bits, at = self.alphabet.size, [], [], [], 0
         for lang in self.langs:
-            joined = np.concatenate([np.r_[self.alphabet.symbols(t), np.uint8(SPACE)] for t in samples[lang]] or [np.zeros(1, np.uint8)])
+            joined = np.concatenate([np.append(self.alphabet.symbols(t), self.alphabet.table.dtype.type(SPACE)) for t in samples[lang]] or [np.zeros(1, np.uint8)])
             edges = automaton(joined.tolist())
             edges.append({})  # after a symbol that the sample hasn't: whatever comes starts a phrase
             table = np.empty((len(edges), size), dtype=np.int32)
             table[:] = [~(at + edges[0].get(c, len(edges) - 1)) for c in range(size)]
             for s, out in enumerate(edges):
                 for c, to in out.items():
-                    table[s, c] = at + to
+                    if c < size:
+                        table[s, c] = at + to
+                    else:
+                        keys.append((at + s) * self.alphabet.total + c)
+                        to_state.append(at + to)
             tables.append(table)
             self.start.append(at)
+            self.dead.append(at + len(edges) - 1)
             self.bits.append(np.log2(len(joined) + 1))
             at += len(edges)
         self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
 
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys, self.to_state = np.array(keys, dtype=np.int64)[order], np.array(to_state, dtype=np.int32)[order]
+
+    def listed(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Transitions by symbols that have no column: the state, or inverted the one after a restart."""
+
+        def find(state: np.ndarray) -> np.ndarray:
+            key = state.astype(np.int64) * self.alphabet.total + symbol
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[at] == key, self.to_state[at], np.int32(-1))
+
+        to, again = find(state), find(np.array(self.start, dtype=np.int32)[:, None])
+        return np.where(to >= 0, to, ~np.where(again >= 0, again, np.array(self.dead, dtype=np.int32)[:, None]))
+
     def parse(self, texts: list[str | None], window: int = 512, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and symbols of each text."""
         symbols = [self.alphabet.symbols(t) if t else np.empty(0, np.uint8) for t in texts]
@@ -128,7 +154,10 @@ class Parser:
                 n = active[step]
                 if not n:
                     break
-                to = self.table[state[:, :n] * size + wide[step, :n]]
+                symbol = wide[step, :n]
+                to = self.table[state[:, :n] * size + np.minimum(symbol, size - 1)]
+                if len(self.keys) and len(rest := np.flatnonzero(symbol >= size)):
+                    to[:, rest] = self.listed(state[:, rest], symbol[rest])
                 sign = to >> 31
                 if step:  # nothing ends at the first symbol
                     misses[:, :n] -= sign
