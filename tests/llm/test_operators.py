@@ -370,9 +370,9 @@ def test_vectors(spark):
     near = [base[k % 10] + rng.standard_normal(24) * rng.choice([0.01, 0.15, 0.25, 0.5]) for k in range(160)]
     data = [v.tolist() for v in [*base, *near]] + [base[0].tolist()] * 5 + [(base[1] * 7).tolist(), (base[2] * 1e-200).tolist()]
     odd = [None, [], [0.0] * 24, [None] + [1.0] * 23, [float("nan")] * 24, [float("inf")] + [0.0] * 23, [1.0, 2.0], [2.0, 4.0]]
-    rows = [(k, v, "own") for k, v in enumerate(data + odd)] + [(None, base[3].tolist(), "own")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kept string")
-    out = {r["vec_id"]: r for r in vector_links.link_vectors(df, block=90).collect()}
+    rows = [(k, v, "own", "a", 1, 2, 3, 4) for k, v in enumerate(data + odd)] + [(None, base[3].tolist(), "own", "a", 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kept string, vec string, v int, id int, row int, `a.b` int")
+    out = {r["vec_id"]: r for r in vector_links.link_vectors(df, tile=90, rows_a_task=150).collect()}
     fine = [k for k, _ in enumerate(data)] + [len(data) + 6, len(data) + 7]
     unit = {k: np.array(rows[k][1]) / np.abs(rows[k][1]).max() for k in fine}
     unit = {k: v / np.linalg.norm(v) for k, v in unit.items()} | {None: base[3] / np.linalg.norm(base[3])}
@@ -386,6 +386,48 @@ def test_vectors(spark):
     assert vector_links.link_vectors(df.limit(0)).count() == 0
 
 
+def pairs_at(rng, n, dim, low, high):
+    """n unit vectors, and for each another at a cosine between low and high."""
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((n, dim))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (n, 1))
+    return x, c * x + np.sqrt(1 - c * c) * y
+
+
+def test_vectors_in_cells_keep_their_links(spark, monkeypatch):
+    """Pairs barely over the bound, many tables of cells, cells cut into blocks, many cells in a task."""
+    monkeypatch.setattr(vector_links, "COPY_COST", 2.0)
+    x, y = pairs_at(np.random.default_rng(9), 1500, 48, 0.9502, 0.96)
+    dense = x[0] + 0.01 * np.random.default_rng(10).standard_normal((120, 48)) / np.sqrt(48)
+    data = np.concatenate([x, y, dense])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    axes, tables, _ = vector_links.plan_cells(len(data), np.full(10, np.sqrt(2)), 0.95, 0.99)
+    assert axes >= 4 and tables >= 6
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    out = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_links.link_vectors(out, tile=64, rows_a_task=2000).collect()}
+    want = near.sum(1)
+    assert all(got[k] <= want[k] for k in range(len(data)))
+    planted = [got[k] > 0 for k in range(1, 3000) if k != 1500 and want[k]]
+    assert sum(planted) >= 0.96 * len(planted) > 2000
+    assert min(got[k] for k in range(3000, 3120)) >= 119
+
+
+def test_cells_grow_with_the_logarithm_of_the_vectors():
+    far = np.full(100, np.sqrt(2))
+    plans = [vector_links.plan_cells(n, far, 0.95, 0.99) for n in (1000, 10**5, 10**7, 10**9)]
+    assert [p[0] for p in plans] == sorted(p[0] for p in plans) and plans[0][0] == 0 and plans[-1][0] <= 40
+    assert plans[-1][1] < 200
+    for axes, tables, width in plans[1:3]:
+        x, y = pairs_at(np.random.default_rng(4), 2000, 64, 0.95, 0.95)
+        met = (vector_links.cells_of(x, axes, tables, width, 7) == vector_links.cells_of(y, axes, tables, width, 7)).any(axis=1)
+        assert met.mean() >= 0.975
+
+
 def test_calibration():
     assert vector_links.calibrate(10, 1.0, 0.9) == 10
     n = vector_links.calibrate(128, 0.125, 0.98)

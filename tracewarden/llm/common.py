@@ -43,6 +43,16 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, made: tuple[str, ...]) -> list[str]:
+    """Columns that aren't named like those an operator makes (names don't differ by case alone)."""
+    return [c for c in df.columns if c.lower() not in made]
+
+
 def lower_ascii(column: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(column, UPPER, LOWER)
