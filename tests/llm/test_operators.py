@@ -284,23 +284,87 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.score(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    """Whole vectors, all cosines, votes and calibration written out, for scored texts that nearly all miss the telling words."""
+    rnd = random.Random(21)
+    texts = [prose(rnd, rnd.randint(2, 40)) + (" horrid" if k % 4 == 0 else "") for k in range(240)] + ["", None, "12 34", "zzz qqq", "zzz " + prose(rnd, 10)]
+    texts += [texts[8]] * 5 + [texts[7].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    y = {k: int(k % 4 == 0) for k in range(0, 245) if k % 3}
+    s = toxicity.Settings(neighbours=5, block=8)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(list(y.items()), "doc_id long, toxic int"), s)).collect()}
+
+    tf = [collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for t in texts]
+    n, n1 = len(y), sum(y.values())
+    have = collections.Counter(w for k in y for w in tf[k])
+    toxic = collections.Counter(w for k in y if y[k] for w in tf[k])
+
+    def weight(w):
+        share = n1 / n
+        z = (toxic[w] - have[w] * share) / math.sqrt(max(1, have[w]) * share * (1 - share))
+        return (math.log((1 + n) / (1 + have[w])) + 1) * (1 + z * z / s.relevance_scale if have[w] else 1)
+
+    def unit(k):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in tf[k].items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = [unit(k) if tf[k] else {} for k in range(len(texts))]
+    rate = (n1 + 0.5) / (n + 1)
+    bare = [y[k] for k in y if not tf[k]]
+    plain = (sum(bare) + rate) / (len(bare) + 1)
+
+    def vote(k, skip=None):
+        cos = [(sum(x * units[i].get(w, 0.0) for w, x in units[k].items()), i) for i in y if i != skip]
+        cos = sorted((c for c in cos if c[0] > 0), reverse=True)
+        assert len(cos) <= s.neighbours or cos[s.neighbours - 1][0] - cos[s.neighbours][0] > 1e-12 or y[cos[s.neighbours - 1][1]] == y[cos[s.neighbours][1]]
+        near = [(1 / (1 - min(c, 1) + s.near), y[i]) for c, i in cos[: s.neighbours]]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near) if near else None
+
+    left = sorted((vote(k, k) if vote(k, k) is not None else rate, y[k]) for k in y)  # texts without words vote the rate, too
+    x, label = [v for v, _ in left], [v for _, v in left]
+    for a in range(len(x)):  # equal votes share a mean
+        if a and x[a] - x[a - 1] < 1e-9:
+            x[a] = x[a - 1]
+    level = {}
+    for v in set(x):
+        at, to = x.index(v), len(x) - x[::-1].index(v)
+        starts = [k for k in range(at + 1) if not k or x[k] != x[k - 1]]
+        ends = [k for k in range(to, len(x) + 1) if k == len(x) or x[k] != x[k - 1]]
+        level[v] = max(min(sum(label[i:j]) / (j - i) for j in ends) for i in starts)
+    pools = collections.Counter(round(level[v], 12) for v in x)
+    curve = sorted((v, (level[v] * pools[round(level[v], 12)] + n1 / n) / (pools[round(level[v], 12)] + 1)) for v in level)
+    curve = [(v, max(p for _, p in curve[: k + 1])) for k, (v, _) in enumerate(curve)]
+    for k, r in got.items():
+        known = any(w in have for w in tf[k])
+        want = float(np.interp(vote(k), *zip(*curve))) if known else plain
+        assert abs(r["score"] - want) < 1e-9, (k, r["score"], want)
+        assert (r["evidence"] != "") == known
+    assert sum(r["score"] == plain for r in got.values()) == 3
+
+
 def test_block_max_index_is_exact():
     rnd = random.Random(6)
 
     def vector():
-        v = {t: rnd.random() for t in rnd.sample(range(12), rnd.randint(1, 5))}
-        n = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / n for t, x in v.items()}
+        at = sorted(rnd.sample(range(60), rnd.randint(1, 5)) + ([60] if rnd.random() < 0.3 else []))
+        v = np.array([rnd.random() for _ in at])
+        return np.array(at), v / np.sqrt((v * v).sum())
 
     rows = [vector() for _ in range(700)]
-    rows += rows[:50]
-    index = toxicity.BlockIndex(rows, [0] * len(rows), list(range(len(rows))), 16)
-    fewer = 0
+    rows += rows[:50] + [(np.zeros(0, np.int64), np.zeros(0))]
+    n = len(rows)
+    start = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
+    index = toxicity.BlockIndex(start, np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows]), [0] * n, [str(k) for k in range(n)], [1.0] * n, 61, 16)
+    assert 0 < len(index.dense) < 40
+    fewer, plain = 0, [dict(zip(t.tolist(), w.tolist())) for t, w in rows]
     for _ in range(60):
-        q = vector()
-        cos = sorted((round(sum(w * rows[i].get(t, 0) for t, w in q.items()), 9) for i in range(len(rows))), reverse=True)
-        got, near, blocks = index.nearest(q, 10)
-        assert [round(c, 9) for c in near.tolist()] == cos[:10]
+        t, w = vector()
+        cos = sorted((round(sum(x * p.get(k, 0) for k, x in zip(t.tolist(), w.tolist())), 9) for p in plain), reverse=True)
+        got, near, blocks = index.nearest(t, w, 10)
+        want = [c for c in cos[:10] if c > 0]
+        assert [round(c, 9) for c in near.tolist()] == want
+        assert [round(sum(x * plain[int(index.ids[r])].get(k, 0) for k, x in zip(t.tolist(), w.tolist())), 9) for r in got.tolist()] == want
         fewer += blocks < index.blocks
     assert fewer > 30
 
