@@ -355,8 +355,8 @@ def test_block_max_index_is_exact():
     rows += rows[:50] + [(np.zeros(0, np.int64), np.zeros(0))]
     n = len(rows)
     start = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
-    index = toxicity.BlockIndex(start, np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows]), [0] * n, [str(k) for k in range(n)], [1.0] * n, 61, 16)
-    assert 0 < len(index.dense) < 40
+    index = toxicity.BlockIndex(start, np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows]), [0] * n, [str(k) for k in range(n)], [1.0] * n, 61, 16, 20)
+    assert 0 < len(index.dense) < 60
     fewer, plain = 0, [dict(zip(t.tolist(), w.tolist())) for t, w in rows]
     for _ in range(60):
         t, w = vector()
@@ -530,26 +530,88 @@ def test_packing(docs, rows, none):
     assert bin_packing.pack_documents(none, path).count() == 0
 
 
-def test_islands_and_migration(spark):
+def test_added_tokens_in_texts(spark):
+    """Strings of added tokens, alone, inside words and in other cases, have the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> x", "a<|endoftext|>b", "<|startoftext|>hello", "it's<|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext", "x<|startoftext|><|endoftext|>\u0301e", "\n<|endoftext|>\n", "é<|endoftext|>日本 ok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in bin_packing.pack_documents(docs, path, keep_ids=True).collect()}
+    for k, t in enumerate(texts):
+        assert np.frombuffer(out[k]["ids"], "<u4").tolist() == [*model.encode(t, add_special_tokens=False).ids, 0]
+    assert np.frombuffer(out[0]["ids"], "<u4").tolist() == [3306, 49407, 343, 0]
+
+
+def test_unknown_tokenizers_take_texts_whole(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    spec["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    words = bin_packing.WordIds(str(path))
+    assert not words.by_word
+    got = words.encode(["Two  words\tHere", None], 0)
+    assert np.frombuffer(got[0], "<u4").tolist() == [*words.model.encode("Two  words\tHere", add_special_tokens=False).ids, 0]
+    assert np.frombuffer(got[1], "<u4").tolist() == [0]
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "uid", "row", "region", "_uid", "bin", "sequence_id", "offset", "free", "a.b", "START"]
+    docs = spark.createDataFrame([(1, "one two three", 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    out = bin_packing.pack_documents(docs, tokenizers.path("word_bpe_49k.json"))
+    assert out.columns == ["doc_id", "uid", "row", "region", "_uid", "bin", "free", "a.b", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert list(out.first())[:8] == [1, 5, 6, 7, 8, 9, 12, 13]
+
+
+def test_islands_and_rounds(spark):
     rnd = random.Random(12)
     lengths = [rnd.choice((rnd.randint(1, 100), rnd.randint(300, 700), 1024, 2048)) for _ in range(3000)]
     pieces = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
-    out = [r.asDict() | {"length": lengths[r["uid"]]} for r in bin_packing.pack(pieces, 2048, island=256).collect()]
+    out = [r.asDict() | {"length": lengths[r["uid"]]} for r in bin_packing.pack(pieces, 2048, region=256).collect()]
     assert len(out) == len(lengths) == len({r["uid"] for r in out})
     assert check_packing(out, 2048) <= 1.01 * sum(lengths) / 2048 + 1
 
 
-def test_crossover_beats_best_fit_alone():
-    """Triplets that fill bins exactly: greedy packings leave gaps that evolution may close, and never more."""
-    rnd = random.Random(3)
-    lengths = []
-    for _ in range(20):
-        a, b = rnd.randint(26, 49), rnd.randint(26, 30)
-        lengths += [a, b, 100 - a - b]
-    one = bin_packing.evolve(lengths, 100, 1, 1, 0)
-    more = bin_packing.evolve(lengths, 100, 1, 8, 200)
-    assert sorted(i for b in more.bins for i in b) == list(range(60))
-    assert len(more.bins) <= len(one.bins)
+def triplets(rnd, n, size):
+    """Lengths of n bins that three pieces each fill exactly."""
+    out = []
+    for _ in range(n):
+        a = rnd.randint(size * 38 // 100, size * 47 // 100)
+        b = rnd.randint(size * 26 // 100, (size - a) // 2)
+        out += [a, b, size - a - b]
+    return out
+
+
+def test_elites_migrate_and_crossover_beats_best_fit(spark):
+    """Where best fit is not optimal, islands end with strictly fewer bins, and the elite of one is a guest of the next."""
+    lengths = triplets(random.Random(3), 40, 1000)
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    alone = bin_packing.evolve_regions(pieces, 1000, 4096, 3, 1, 0, 6, 1).collect()
+    more = bin_packing.evolve_regions(pieces, 1000, 4096, 3, 4, 150, 6, 1).collect()
+    assert len(more) == 3 and all(r["crossovers"] > 100 for r in more)
+    assert {r["first_bins"] for r in more} == {alone[0]["first_bins"]}
+    assert min(r["bins"] for r in more) < alone[0]["first_bins"]
+    for r in more:
+        for packing in r["packs"]:
+            held = collections.Counter()
+            for length, b in zip(r["length"], packing, strict=True):
+                held[b] += length
+            assert max(held.values()) <= 1000
+    # an epoch without generations only moves elites: every island has its neighbour's
+    moved = bin_packing.evolve_regions(pieces, 1000, 4096, 3, 2, 0, 6, 1).collect()
+    first = {r["island"]: r["packs"][0] for r in alone}
+
+    def bins(packing):
+        held = collections.defaultdict(set)
+        for i, b in enumerate(packing):
+            held[b].add(i)
+        return {frozenset(x) for x in held.values()}
+
+    for r in moved:
+        assert bins(first[(r["island"] - 1) % 3]) in [bins(p) for p in r["packs"]]
 
 
 def test_line_quality(docs, rows, none):

@@ -1,52 +1,72 @@
 """Packing of documents into sequences by a grouping genetic algorithm on islands.
 
-Documents are tokenised once; only those longer than a sequence are cut. Pieces that fill
-a sequence have one of their own. The others are dealt by a hash to islands of bounded
-size. On an island a small population of packings evolves: a child takes over whole
-well-filled bins of one parent, bins of the other that share a document with them go, and
-the documents left over are put in by best fit. Bins of the island's elite that are full
-enough are final; the documents of its other bins migrate to other islands in the next
-epoch, until few are left, which one last epoch packs.
-
-Null and empty texts are the end id alone. Repeated rows are packed each. An empty table
-gives no pieces. Bins are numbered uniquely, not densely.
+Documents are tokenised once; only those longer than a sequence are cut. Pieces that fill a
+sequence have one of their own. The others are dealt by a hash to regions of bounded size.
+Several islands work on each region, each with a population of packings of all its pieces.
+In a generation a child takes over whole well-filled bins of one parent; bins of the other
+that share a document with them go, and the documents displaced are put in by best fit.
+Fewer bins win, then fuller ones (the mean square of how full they are), and evolution goes
+on until nothing can be better. After an epoch each island's elite packing migrates to the
+next island of its region, where it joins the population. Bins of a region's best packing
+that are full enough are final; documents of its other bins are dealt to new regions, and
+evolve again, until few are left, which one last round packs.
+
+Null and empty texts are the end id alone. Repeated rows and ids are packed each, by the
+order of their rows; equal lengths are taken by that order, too. Strings of added tokens in
+a text have the ids that the tokenizer gives them. Texts of any length are cut, never
+dropped. An empty table gives no pieces. Bins are numbered uniquely, not densely. Columns
+named like a result are replaced, all others stay with every piece, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import random
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracewarden.llm.common import materialise, split_count
+from tracewarden.llm.common import column, discard, materialise, others, split_count
+
+
+#: How a tokenizer must normalise and split texts for its words to be handled one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 class WordIds:
-    """Token ids of texts through a tokenizer that never joins words across ASCII white space.
+    """Token ids of texts through a tokenizer, each distinct word once.
 
-    Words of printable ASCII and Latin-1 letters are cut into the tokenizer's parts here and
-    go straight to its BPE model, each distinct part once; other words take its whole way.
+    A tokenizer with the split and the normaliser above never joins words across ASCII white
+    space. Its words of printable ASCII and Latin-1 letters are cut into the tokenizer's parts
+    here and go straight to its BPE model, each distinct part once; other words, and those
+    that hold the string of an added token, take its whole way. Texts of any other tokenizer
+    go to it whole.
     """
 
     PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, remember: int = 500_000):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = [t["content"] for t in spec.get("added_tokens", ())]
+        split = {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        self.by_word = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == split and not any(re.search(r"\s", t) for t in added)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.remember = remember
         self.known: dict[bytes, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
@@ -57,7 +77,7 @@ class WordIds:
         plain, other = [], []
         for w in new:
             text = w.decode("utf-8", "replace")
-            (plain if self.PLAIN.fullmatch(text) else other).append((w, text))
+            (plain if self.PLAIN.fullmatch(text) and not self.added.search(text) else other).append((w, text))
         parts = [self.PART.findall(text.lower()) for _, text in plain]
         tokenize = self.model.model.tokenize
         ids = {p: np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(self.byte_names))], dtype="<u4").tobytes() for p in set().union(*parts)}
@@ -69,6 +89,9 @@ class WordIds:
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then `end`."""
+        if not self.by_word:
+            whole = self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array([*g.ids, end], dtype="<u4").tobytes() for g in whole]
         if len(self.known) > self.remember:
             self.known.clear()
         words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
@@ -139,107 +162,186 @@ class Packing:
         return sum((1 - f / self.size) ** 2 for f in self.free) / max(1, len(self.free))
 
 
-def evolve(lengths: list[int], size: int, seed: int, population: int = 4, generations: int = 12) -> Packing:
-    """The fittest packing of pieces with these lengths."""
-    rnd, n = random.Random(seed), len(lengths)
-    least = -(-sum(lengths) // size)
+class Population:
+    """Packings of the same pieces; the fittest comes first."""
+
+    def __init__(self, lengths: list[int], size: int, rnd: random.Random):
+        self.lengths, self.size, self.rnd, self.packs = lengths, size, rnd, []
+        self.least = -(-sum(lengths) // size)
+        self.crossovers = 0
 
-    def fill(into: Packing, items: list[int]) -> Packing:
+    def fill(self, into: Packing, items: list[int]) -> Packing:
         for i in items:
-            into.best_fit(i, lengths[i])
+            into.best_fit(i, self.lengths[i])
         return into
 
-    def start(noise: float) -> Packing:
-        return fill(Packing(size), sorted(range(n), key=lambda i: -lengths[i] * (1 + noise * rnd.random())))
-
-    def cross(a: Packing, b: Packing) -> Packing:
+    def start(self, count: int) -> None:
+        """Best fit by falling length, and the same with noise in the order."""
+        for k in range(count):
+            noise = 0.08 * k
+            self.packs.append(self.fill(Packing(self.size), sorted(range(len(self.lengths)), key=lambda i: -self.lengths[i] * (1 + noise * self.rnd.random()))))
+
+    def add(self, bins: list[int]) -> None:
+        """A packing that came from elsewhere, as the number of each piece's bin."""
+        held: dict[int, list[int]] = {}
+        for i, b in enumerate(bins):
+            held.setdefault(b, []).append(i)
+        pack = Packing(self.size)
+        for items in held.values():
+            pack.add_bin(items, self.size - sum(self.lengths[i] for i in items))
+        self.packs.append(pack)
+
+    def rank(self) -> None:
+        self.packs.sort(key=lambda p: (len(p.bins), -p.fitness()))
+
+    def solved(self) -> bool:
+        """No packing can be better: as few bins as can be, and all but one of them full."""
+        best = self.packs[0]
+        return len(best.bins) <= self.least and sum(f > 0 for f in best.free) <= 1
+
+    def cross(self, a: Packing, b: Packing) -> Packing:
+        """Well-filled bins of b go into a; bins of a that share a piece with them go, as do some with room; best fit puts back what is displaced."""
+        rnd, n = self.rnd, len(self.lengths)
         full = sorted(range(len(b.bins)), key=lambda k: (b.free[k], rnd.random()))
-        full = [k for k in full[: max(1, len(full) // 2)] if rnd.random() < 0.7]
-        child = Packing(size)
-        placed = bytearray(n)
-        for k in full:
-            child.add_bin(list(b.bins[k]), b.free[k])
-            for i in b.bins[k]:
-                placed[i] = 1
-        kept = []
-        for k, items in enumerate(a.bins):
-            if not any(placed[i] for i in items) and (a.free[k] <= size // 50 or rnd.random() < 0.8):
-                kept.append(k)
+        child, placed = Packing(self.size), bytearray(n)
+        for k in full[: max(1, len(full) // 2)]:
+            if rnd.random() < 0.7:
+                child.add_bin(list(b.bins[k]), b.free[k])
+                for i in b.bins[k]:
+                    placed[i] = 1
+        kept = [k for k, items in enumerate(a.bins) if not any(placed[i] for i in items) and (a.free[k] <= self.size // 50 or rnd.random() < 0.8)]
         for k in kept:
             child.add_bin(list(a.bins[k]), a.free[k])
             for i in a.bins[k]:
                 placed[i] = 1
-        return fill(child, sorted((i for i in range(n) if not placed[i]), key=lambda i: -lengths[i]))
-
-    packs = [start(0.0)]
-    if len(packs[0].bins) > least:
-        packs += [start(0.05 * k) for k in range(1, population)]
+        displaced = [i for i in range(n) if not placed[i]]
+        noise = rnd.choice((0.0, 0.1, 0.5))
+        self.crossovers += 1
+        return self.fill(child, sorted(displaced, key=lambda i: -self.lengths[i] * (1 + noise * rnd.random())))
+
+    def evolve(self, generations: int) -> None:
+        """Each generation a child of two of the better packings replaces the worst, if it isn't worse itself."""
+        self.rank()
         for _ in range(generations):
-            packs.sort(key=lambda p: (len(p.bins), -p.fitness()))
-            if len(packs[0].bins) <= least:
+            if self.solved() or len(self.packs) < 2:
                 break
-            a, b = rnd.sample(packs[: max(2, population - 1)], 2)
-            packs[-1] = cross(a, b)
-        packs.sort(key=lambda p: (len(p.bins), -p.fitness()))
-    return packs[0]
-
-
-PLACED = "uid long, length long, bin long, offset long, free long"
+            a, b = self.rnd.sample(self.packs[: max(2, len(self.packs) - 1)], 2)
+            self.packs.append(self.cross(a, b))
+            self.rank()
+            self.packs.pop()
+
+    def bins_of(self, pack: Packing) -> list[int]:
+        out = [0] * len(self.lengths)
+        for b, items in enumerate(pack.bins):
+            for i in items:
+                out[i] = b
+        return out
 
 
-def island_packer(size: int, epoch: int):
-    """The function that packs the pieces of one island."""
+ISLAND = "region long, island int, uid array<long>, length array<long>, packs array<array<int>>, first_bins int, bins int, fitness double, crossovers int"
 
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "uid"], ascending=[False, True])
-        uid, length = frame["uid"].tolist(), frame["length"].tolist()
-        best = evolve(length, size, seed=epoch)
-        rows = []
-        for b, items in enumerate(best.bins):
-            # the least uid of its pieces names the bin, so no two bins of any epoch have the same name
-            name, at = min(uid[i] for i in items), 0
-            for i in items:
-                rows.append((uid[i], length[i], name, at, best.free[b]))
-                at += length[i]
-        return pd.DataFrame(rows, columns=["uid", "length", "bin", "offset", "free"])
 
-    return settle
+def evolve_islands(islands: DataFrame, size: int, generations: int, population: int, seed: int) -> DataFrame:
+    """One epoch of every island; `guest` is the elite packing that has migrated to it."""
+    kind = to_arrow_schema(T._parse_datatype_string(ISLAND))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                there = Population(r["length"], size, random.Random(f"{seed}:{r['region']}:{r['island']}"))
+                for bins in (r["packs"] or []) + ([r["guest"]] if r["guest"] else []):
+                    there.add(bins)
+                if not there.packs:
+                    there.start(population)
+                    r["first_bins"] = len(there.packs[0].bins)
+                there.evolve(generations)
+                best = there.packs[0]
+                packs = [there.bins_of(p) for p in there.packs[:population]]
+                out.append(r | {"packs": packs, "bins": len(best.bins), "fitness": best.fitness(), "crossovers": (r["crossovers"] or 0) + there.crossovers})
+            yield pa.RecordBatch.from_pylist([{f: o[f] for f in kind.names} for o in out], kind)
+
+    return islands.mapInArrow(run, ISLAND)
+
+
+def evolve_regions(pieces: DataFrame, size: int, region: int, islands: int, epochs: int, generations: int, population: int, seed: int) -> DataFrame:
+    """The last state of all islands. Islands of a region hold the same pieces; after each epoch their elites move on to the next island."""
+    total = pieces.count()
+    regions = split_count(total, region, 1)
+    dealt = pieces.withColumn("region", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(regions)))
+    # a region has about `region` pieces, whatever their number
+    rows = dealt.groupBy("region").agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("order"), "uid", "length"))).alias("p"))
+    first = rows.select("region", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("p.uid").alias("uid"), F.col("p.length").alias("length"))
+    blank = {"packs": "array<array<int>>", "first_bins": "int", "bins": "int", "fitness": "double", "crossovers": "int", "guest": "array<int>"}
+    state = first.select("*", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+    # one island a task as far as 200 tasks go
+    now = materialise(evolve_islands(state.repartition(max(1, min(regions * islands, 200)), "region", "island"), size, generations, population, seed), "islands")
+    for epoch in range(1, epochs if islands > 1 else 1):
+        guests = now.select("region", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.element_at("packs", 1).alias("guest"))
+        after = materialise(evolve_islands(now.join(guests, ["region", "island"]), size, generations, population, seed + 1000 * epoch), "islands")
+        discard(pieces.sparkSession, now)
+        now = after
+    return now
+
+
+def placed_pieces(state: DataFrame, size: int) -> DataFrame:
+    """(uid, length, sequence_id, offset, free) by the best packing of each region."""
+    best = state.groupBy("region").agg(F.min_by(F.struct("uid", "length", F.element_at("packs", 1).alias("pack")), F.struct("bins", -F.col("fitness"), "island")).alias("b"))
+    schema = "uid long, length long, sequence_id long, offset long, free long"
 
-def pack(pieces: DataFrame, size: int, island: int = 4096, epochs: int = 3, settled: float = 0.995) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                uid, length, pack = np.array(r["uid"]), np.array(r["length"]), np.array(r["pack"])
+                order = np.argsort(pack, kind="stable")
+                uid, length, pack = uid[order], length[order], pack[order]
+                first = np.flatnonzero(np.r_[True, pack[1:] != pack[:-1]])
+                sizes = np.diff(np.r_[first, len(pack)])
+                before = np.cumsum(length) - length
+                total = np.repeat(np.add.reduceat(length, first), sizes)
+                # the least uid of its pieces names the bin, so no two bins of any round have the same name
+                name = np.repeat(np.minimum.reduceat(uid, first), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (uid, length, name, before - np.repeat(before[first], sizes), size - total)], names=["uid", "length", "sequence_id", "offset", "free"])
+
+    return best.select("b").mapInArrow(run, schema)
+
+
+def pack(pieces: DataFrame, size: int, region: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 4, population: int = 3, rounds: int = 3, settled: float = 0.995) -> DataFrame:
     """uid, sequence_id and offset of pieces (uid long, length long), which must be a table that reads the same again."""
     spark = pieces.sparkSession
     whole = pieces.filter(F.col("length") >= size).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = pieces.filter(F.col("length") < size).select("uid", "length")
     total = left.count()
-    done = [whole]
-    for epoch in range(epochs):
+    placed, tables = whole, []
+    for n in range(rounds):
         if not total:
             break
-        last = epoch == epochs - 1 or total <= island
-        islands = split_count(total, island)
-
-        dealt = left.withColumn("_island", F.pmod(F.xxhash64("uid", F.lit(epoch)), F.lit(islands)))
-        out = materialise(dealt.repartition(max(1, min(islands, 4096)), "_island").groupBy("_island").applyInPandas(island_packer(size, epoch), PLACED), "packed")
+        last = n == rounds - 1 or total <= region
+        state = evolve_regions(left, size, region, islands, epochs, generations, population, n)
+        out = materialise(placed_pieces(state, size), "packed")
+        discard(spark, state)
         final = F.lit(True) if last else F.col("free") <= int(size * (1 - settled))
-        done.append(out.filter(final).select("uid", F.col("bin").alias("sequence_id"), "offset"))
+        placed = placed.unionByName(out.filter(final).select("uid", "sequence_id", "offset"))
+        tables.append(out)
         if last:
             break
         left = out.filter(~final).select("uid", "length")
         total = left.count()
-    placed = done[0]
-    for d in done[1:]:
-        placed = placed.unionByName(d)
-    return placed
+    result = materialise(placed, "placed")
+    for table in tables:
+        discard(spark, table)
+    return result
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = 2048, end: int = 0, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of docs with sequence_id and offset; `keep_ids` adds the ids (unsigned, little-endian, 32 bits)."""
-    cut = cut_pieces(docs, path, size, end, keep_ids=keep_ids).withColumn("_uid", F.monotonically_increasing_id())
-    pieces = materialise(cut, "pieces")
-    placed = pack(pieces.select(F.col("_uid").alias("uid"), "length"), size)
-    placed = placed.withColumnRenamed("uid", "_uid")
-    return pieces.join(placed, "_uid").drop("_uid")
+    made = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(("ids",) if keep_ids else ()))
+    own = [c for c in others(docs, made) if c != text]
+    rows = docs.select(F.struct(*map(column, own)).alias("row"), column(text).alias("text")) if own else docs.select(F.lit(None).cast("int").alias("row"), column(text).alias("text"))
+    # numbers are written with their pieces, so that a lost executor can't number them anew
+    pieces = materialise(cut_pieces(rows, path, size, end, keep_ids=keep_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    placed = pack(pieces.select("uid", "length"), size)
+    return pieces.join(placed, "uid").select(*(["row.*"] if own else []), *made)
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -278,11 +278,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embeddi
     fine = F.coalesce((F.size("v") > 0) & ~odd & F.exists("v", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(fine, F.col("v")))
     reps = rows.filter("v is not null").groupBy(F.col("v").alias("vec")).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    # the table is written before its rows are numbered, so that a lost executor can't number them anew
     plain = materialise(reps, "vectors")
     total = plain.count()
     axes, tables, width = plan_cells(total, sampled_distances(plain, sample), cosine, cell_recall)
     numbered = plain.withColumn("rid", F.monotonically_increasing_id())
+    # numbers are written with their vectors, so that a lost executor can't number them anew
     reps = materialise(with_cells(numbered, axes, tables, width, seed), "cells")
     places = reps.select("rid", F.posexplode("cells").alias("t", "cell"))
     full = places.groupBy("t", "cell").agg(F.count("*").alias("c")).filter("c > 1")
