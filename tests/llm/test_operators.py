@@ -252,6 +252,74 @@ def test_secrets_glued_to_names_and_paths(spark):
     assert secret_scan.candidates("a" * 19 + "=" + "b" * 20 + "=") == [(20, 41)] and secret_scan.candidates("c" * 18 + "==") == [(0, 20)]
 
 
+def test_discoveries_are_those_of_a_plain_step_up():
+    """Benjamini-Hochberg over sorted p values, which lie at the bounds of cells."""
+    rnd = random.Random(17)
+    for fdr in (0.01, 0.05, 0.2):
+        for _ in range(40):
+            cells = [min(secret_scan.CELLS - 1, int(rnd.expovariate(rnd.choice((0.05, 0.3, 2))))) for _ in range(rnd.randint(0, 60))]
+            p = sorted(10.0 ** -(secret_scan.CELL * c) for c in cells)
+            passed = [k for k, v in enumerate(p, 1) if v <= fdr * k / len(p) * (1 + 1e-12)]
+            cut = secret_scan.step_up(np.bincount(np.array(cells, int), minlength=secret_scan.CELLS).astype(float), fdr)
+            assert sum(c >= cut for c in cells) == (max(passed) if passed else 0)
+
+
+def test_random_spans_are_those_of_brute_force(spark):
+    """Every candidate's three tests by their textbook formulas, one step-up a stratum."""
+    rnd = random.Random(23)
+    base62 = secret_scan.DIGITS + secret_scan.UPPERS + secret_scan.LOWERS
+    texts = []
+    for k in range(200):
+        words = prose(rnd, 6).split()
+        words.insert(rnd.randrange(6), "".join(prose(rnd, rnd.randint(6, 20)).split()))
+        if k % 4 == 0:
+            words.insert(2, "".join(rnd.choice(rnd.choice((base62, "0123456789abcdef"))) for _ in range(rnd.choice((22, 30, 31, 50, 90)))))
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["rank"] == 3} for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def deviate(total, degrees, shift):
+        mean, ratio = degrees + shift, 2 * (degrees + 2 * shift) / (9 * (degrees + shift) ** 2)
+        return ((total / mean) ** (1 / 3) - 1 + ratio) / math.sqrt(ratio)
+
+    tested = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for m in re.finditer("[A-Za-z0-9]{20,}", t):
+            token, n = m.group(), len(m.group())
+            name, alphabet = next((a, b) for a, b in secret_scan.ENCODINGS if set(token) <= set(b))
+            k, x = len(alphabet), [alphabet.index(c) for c in token]
+            chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+            up = [v >= k / 2 for v in x]
+            a, b = sum(up), n - sum(up)
+            runs, mu = 1 + sum(up[j] != up[j - 1] for j in range(1, n)), 2 * a * b / n + 1
+            mean = sum(x) / n
+            serial = sum((x[j] - mean) * (x[j - 1] - mean) for j in range(1, n)) / sum((v - mean) ** 2 for v in x)
+            if not a or not b:
+                continue
+            total = chi + (runs - mu) ** 2 / ((mu - 1) * (mu - 2) / (n - 1)) + (serial + 1 / n) ** 2 * n
+            shift = n * (secret_scan.natural_profile(alphabet) + 0.02)
+            random_p = 0.5 * math.erfc(deviate(total, k + 1, 0) / math.sqrt(2))
+            language_p = 0.5 * math.erfc(-deviate(total, k + 1, shift) / math.sqrt(2)) if shift > 0.04 * n else 1.0
+            cell = int(-math.log10(max(1e-30, language_p)) / secret_scan.CELL)
+            tested[sum(n >= s for s in secret_scan.STRATA)].append((cell, random_p >= 0.001, i, m.span()))
+    want = collections.defaultdict(set)
+    for rows in tested.values():
+        p = sorted(10.0 ** -(secret_scan.CELL * r[0]) for r in rows)
+        fine = [v for k, v in enumerate(p, 1) if v <= 0.05 * k / len(p)]
+        for cell, is_random, i, span in rows:
+            if fine and is_random and 10.0 ** -(secret_scan.CELL * cell) <= max(fine):
+                want[i].add(span)
+    assert got == {i: want[i] for i in range(len(texts))}
+    assert sum(map(len, want.values())) >= 20
+
+
+def test_secrets_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefgh12", "mine", 2, 3, 4, 5)], "doc_id long, text string, spans string, _base int, row int, tested int, `a.b` int")
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and list(out.first()) == [1, "[SECRET]", "mine", 2, 3, 4, 5]
+    found = secret_scan.find_secrets(docs)
+    assert found.columns == ["doc_id", "text", "_base", "row", "tested", "a.b", "spans"] and list(found.first())[2:6] == [2, 3, 4, 5]
+
+
 def test_battery_tells_random_from_regular():
     rnd = random.Random(1)
     passed = sum(secret_scan.battery("".join(rnd.choice("0123456789abcdef") for _ in range(40)))[1] >= 0.001 for _ in range(200))
