@@ -183,6 +183,40 @@ def test_line_dedup_tries_every_group(spark):
     assert got == {r[0]: r[3] for r in want}
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc", "page", "bits", "exact", "near", "_in", "row", "first", "n_NEAR", "a.b"]
+    docs = spark.createDataFrame([(k, t, *range(10)) for k, t in enumerate(["one line here\nand one more", "one line here\nother"])], ", ".join(["doc_id long", "text string", *[f"`{n}` int" for n in names]]))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", *[n for n in names if n != "n_NEAR"], "n_lines", "n_exact", "n_near"]
+    got = {r["doc_id"]: list(r)[1:] for r in out.collect()}
+    assert got == {0: ["one line here\nand one more", *range(8), 9, 2, 0, 0], 1: ["other", *range(8), 9, 2, 1, 0]}
+
+
+def test_sieves_grow_with_their_members():
+    assert line_dedup.sieve_bits(0) == line_dedup.LEAST_BITS and line_dedup.sieve_bits(10**12) == line_dedup.MOST_BITS
+    assert 8 * 3_000_000 <= line_dedup.sieve_bits(3_000_000) <= 16 * 3_000_000
+
+
+def test_jaccard_join_keeps_columns_of_any_name(spark):
+    names = ["component_id", "class_id", "row", "id", "least", "root", "n", "_least", "a.b"]
+    docs = spark.createDataFrame([(k, "a b c d e f g", *range(9)) for k in (4, 7)], ", ".join(["doc_id long", "text string", *[f"`{n}` int" for n in names]]))
+    out = jaccard_join.near_duplicates(docs)
+    assert out.columns == ["doc_id", *names[2:], "n_shingles", "class_id", "component_id"]
+    assert sorted(list(r)[:9] + [r["component_id"]] for r in out.collect()) == [[k, *range(2, 9), 3, 4] for k in (4, 7)]
+
+
+def test_more_parts_than_names(spark, monkeypatch):
+    """Parts past the names that a message has are told apart by further bits of the hashes."""
+    monkeypatch.setattr(jaccard_join, "MOST_NAMES", 3)
+    monkeypatch.setattr(jaccard_join, "PART_HASHES", 40)
+    rnd = random.Random(31)
+    base = [prose(rnd, 40) for _ in range(12)]
+    out = base + [" ".join(t.split()[1:]) for t in base]
+    assert jaccard_join.part_names(17) == (3, 6)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")).collect()}
+    assert got == {k: k % 12 for k in range(24)}
+
+
 def test_language_model(docs, rows, none, monkeypatch):
     monkeypatch.setattr(interpolated_lm, "BLOCK_CHARS", 3000)
     monkeypatch.setattr(interpolated_lm, "PART_CHARS", 9000)

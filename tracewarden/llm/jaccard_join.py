@@ -16,9 +16,12 @@ fewer words, of the whole sequence. Equal sets form one class, and classes are j
    of hashes with few classes one by one, and classes that hashes of many classes connect
    in tiles, which compare two blocks of whole sets at once.
 
-Texts without words have empty sets and link with nothing, as do null texts. Repeated rows
-are members of one class. Rows with a null id are kept; a component's id is the least
-non-null id among its members. An empty table gives an empty table.
+Texts without words have empty sets and link with nothing, as do null texts. Texts of any
+length go in whole. Repeated rows are members of one class. Hashes that tie in their number
+of classes are ordered by value, which no link depends on. Rows with a null id are kept; a
+component's id is the least non-null id among its members. An empty table gives an empty
+table. Columns named like a result (n_shingles, class_id, component_id) are replaced, all
+others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import WordHashes, discard, materialise, split_count, window_hashes, word_bytes
+from tracewarden.llm.common import WordHashes, column, discard, materialise, others, split_count, window_hashes, word_bytes
 from tracewarden.llm.components import components
 
 PART_HASHES = 2_000_000  # hashes a part handles at once
@@ -52,51 +55,60 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def class_rows(docs: DataFrame, width: int, text: str) -> DataFrame:
-    """docs without text, with n_shingles and the class of the set (null: empty)."""
-    own = [f for f in docs.schema.fields if f.name not in (text, "n_shingles", "class_id")]
-    schema = T.StructType(own + [T.StructField("n_shingles", T.LongType()), T.StructField("class_id", T.LongType())])
+def class_rows(rows: DataFrame, width: int) -> DataFrame:
+    """(row, id, n_shingles, class_id) of (row, id, text): the class is that of the set (null: empty)."""
+    schema = T.StructType([rows.schema["row"], rows.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("class_id", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sizes, classes = [], []
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+            for t in batch.column(2).to_pylist():
                 s = shingle_set(t, width, hashes)
                 sizes.append(len(s))
                 classes.append(class_of(s) if len(s) else None)
                 hashes.trim()
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in own] + [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=schema.names)
+
+    return rows.select("row", "id", "text").mapInArrow(run, schema)
+
+
+MOST_NAMES = 60_000  # of 16 bits; more parts are told apart by the bits that messages hold
+
 
-    return docs.mapInArrow(run, schema)
+def part_names(parts: int) -> tuple[int, int]:
+    """Names, and parts of one name: a part is name * subs + sub."""
+    names = min(parts, MOST_NAMES)
+    return names, -(-parts // names)
 
 
-BLOCKS = "part int, classes binary, sizes binary, counts binary, hashes binary"
+BLOCKS = "part long, classes binary, sizes binary, counts binary, hashes binary"
 
 
 def deal_sets(docs: DataFrame, width: int, parts: int, text: str) -> DataFrame:
     """Blocks of sets for each part; a class goes out once a task."""
+    names, subs = part_names(parts)
 
     def flush(classes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(sets)
         size = np.array([len(s) for s in sets], dtype=np.int64)
         doc = np.repeat(np.arange(len(sets)), size)
-        part = (flat % np.uint64(parts)).astype(np.int32)
+        part = (flat % np.uint64(names)).astype(np.int64) * subs + (flat >> np.uint64(16)).astype(np.int64) % subs
         order = np.argsort(part, kind="stable")
         flat, doc, part = flat[order] >> np.uint64(16), doc[order], part[order]
         edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])
         run = np.diff(np.r_[edge, len(flat)]).astype("<u4")
         run_part, run_doc = part[edge], doc[edge]
         six = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        names = np.array(classes, dtype="<i8")
+        called = np.array(classes, dtype="<i8")
         out: list[list] = [[], [], [], [], []]
         present, first = np.unique(run_part, return_index=True)
         for p, a, b in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(run_part)], strict=True):
             lo, hi = edge[a], edge[b] if b < len(edge) else len(flat)
-            row = (p, names[run_doc[a:b]].tobytes(), size[run_doc[a:b]].astype("<u4").tobytes(), run[a:b].tobytes(), np.ascontiguousarray(six[lo:hi]).tobytes())
+            row = (p, called[run_doc[a:b]].tobytes(), size[run_doc[a:b]].astype("<u4").tobytes(), run[a:b].tobytes(), np.ascontiguousarray(six[lo:hi]).tobytes())
             for column, value in zip(out, row, strict=True):
                 column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["part", "classes", "sizes", "counts", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["part", "classes", "sizes", "counts", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -120,14 +132,15 @@ def deal_sets(docs: DataFrame, width: int, parts: int, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, BLOCKS)
 
 
-SHARED = "bucket int, classes binary, sizes binary, counts binary, hashes binary, found binary"
+SHARED = "bucket long, classes binary, sizes binary, counts binary, hashes binary, found binary"
 
 
-def shared_hashes(part_of: int):
-    """The function that keeps, of one part, what two classes or more share; dealt to `part_of` buckets of classes."""
+def shared_hashes(parts: int):
+    """The function that keeps, of one part, what two classes or more share; dealt to as many buckets of classes."""
+    _, subs = part_names(parts)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        part = np.uint64(frame["part"].iloc[0])
+        part = np.uint64(frame["part"].iloc[0] // subs)
         classes = np.concatenate([np.frombuffer(b, "<i8") for b in frame["classes"]])
         size = np.concatenate([np.frombuffer(b, "<u4") for b in frame["sizes"]])
         run = np.concatenate([np.frombuffer(b, "<u4") for b in frame["counts"]]).astype(np.int64)
@@ -149,12 +162,12 @@ def shared_hashes(part_of: int):
         each = np.repeat(found, found)
         keep = each > 1
         flat, doc, each = flat[keep], doc[keep], each[keep]
-        bucket = ((classes % part_of).astype(np.int32))[doc]
+        bucket = (classes % parts)[doc]
         order = np.lexsort((doc, bucket))
         flat, doc, each, bucket = flat[order], doc[order], each[order], bucket[order]
         out = []
         names, first = np.unique(bucket, return_index=True)
-        for b, lo, hi in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+        for b, lo, hi in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=False):  # nothing at all may be shared
             d = doc[lo:hi]
             at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
             out.append((b, classes[d[at]].astype("<i8").tobytes(), size[d[at]].astype("<u4").tobytes(), np.diff(np.r_[at, len(d)]).astype("<u4").tobytes(), flat[lo:hi].astype("<u8").tobytes(), each[lo:hi].astype("<u4").tobytes()))
@@ -243,8 +256,6 @@ def linked_classes(docs: DataFrame, total: int, width: int, numerator: int, deno
         return scratch[-1]
 
     parts = split_count(total, PART_HASHES)
-    if parts > 60_000:
-        parts = 60_000  # a part's number has 16 bits; larger parts then
     blocks = deal_sets(docs, width, parts, text)
     shared = blocks.repartition(parts, "part").groupBy("part").applyInPandas(shared_hashes(parts), SHARED)
     ready = shared.repartition(parts, "bucket").groupBy("bucket").applyInPandas(prepare(numerator, denominator), PREPARED)
@@ -365,18 +376,20 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, numerator: int = 75, denominator: int = 100) -> DataFrame:
     """docs without text, with n_shingles, class_id and component_id (the least id reachable by links)."""
-    rows = materialise(class_rows(docs, width, text), "classes")
-    classes = rows.filter("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias("_least"), F.max("n_shingles").alias("_n"))
-    total = classes.agg(F.sum("_n")).first()[0] or 0
+    own = [c for c in others(docs, ("n_shingles", "class_id", "component_id")) if c != text]
+    docs = docs.select(F.struct(*map(column, own)).alias("row"), column(id_col).alias("id"), column(text).alias("text"))
+    rows = materialise(class_rows(docs, width), "classes")
+    classes = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
     scratch: list[DataFrame] = []
-    roots = linked_classes(docs, total, width, numerator, denominator, text, scratch)
-    placed = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("_root", F.coalesce("root", "class_id")).select("class_id", "_least", "_root")
-    ids = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    placed = materialise(placed.join(ids, "_root").select("class_id", "component_id"), "placed")
+    roots = linked_classes(docs, total, width, numerator, denominator, "text", scratch)
+    placed = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id")).select("class_id", "least", "root")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = materialise(placed.join(ids, "root").select("class_id", "component_id"), "placed")
     for table in scratch:
         discard(docs.sparkSession, table)
     out = rows.join(placed, "class_id", "left")
-    return out.withColumn("component_id", F.coalesce("component_id", F.col(id_col)))
+    return out.select("row.*", "n_shingles", "class_id", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ a line that shares none of its six part keys has no partner.
 
 Lines without a word always stay. Null texts stay null, empty ones empty. Rows with equal
 id and text are taken as one text and get equal results; a null id comes after all others.
-An empty table gives an empty table. Further columns stay as they are.
+Of lines that tie in id and number (repeated ids) the one of the lower text hash is earlier.
+Texts of any length are taken whole. An empty table gives an empty table. Columns named like
+a result (n_lines, n_exact, n_near) are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import discard, materialise
+from tracewarden.llm.common import column, discard, materialise, others
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -62,19 +64,26 @@ def without(words: str, at: str) -> Column:
     return F.when(k == 0, w).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0)))))
 
 
-SIEVE_BITS, PAGE = 1 << 23, 1 << 15  # a sieve has at most a megabyte, whatever goes in
+#: A sieve has 8 bits a member, and 32 megabytes at most; beyond, it lets more through to the exact join behind it.
+PAGE, LEAST_BITS, MOST_BITS = 1 << 15, 1 << 20, 1 << 28
 
 
-def sieve(members: DataFrame, column: str) -> DataFrame:
-    """(page, bits): a bitmap of the hashes of a column's values, in at most SIEVE_BITS / PAGE rows."""
-    place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+def sieve_bits(members: int) -> int:
+    """Bits of a sieve: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * members).bit_length()))
+
+
+def sieve(members: DataFrame, name: str, size: int) -> DataFrame:
+    """(page, bits): a bitmap of the hashes of a column's values, in at most size / PAGE rows."""
+    place = F.pmod(F.xxhash64(name), F.lit(size))
     return members.select(F.floor(place / PAGE).cast("int").alias("page"), (place % PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def marked(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
-    """df with `_in`: false only where the column's value is none of the members'."""
-    held = F.broadcast(sieve(members, column))
-    place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+def marked(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
+    """df with `_in`: false only where the column's value is none of the members', which is a stored table."""
+    size = sieve_bits(members.count())
+    held = F.broadcast(sieve(members, name, size))
+    place = F.pmod(F.xxhash64(name), F.lit(size))
     rows = df.withColumn("_page", F.floor(place / PAGE).cast("int")).withColumn("_bit", (place % PAGE).cast("int"))
     rows = rows.join(held, F.col("_page") == F.col("page"), "left")
     byte = F.conv(F.hex(F.expr("substring(bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
@@ -83,16 +92,16 @@ def marked(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
     return rows.withColumn("_in", F.coalesce(one, F.lit(False))).drop("_page", "_bit", "page", "bits")
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text: str, min_words: int) -> DataFrame:
-    """(h1, h2) of distinct lines with a variant that an earlier line has, too. docs have `doc` and key columns."""
+def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+    """(h1, h2) of distinct lines with a variant that an earlier line has, too. docs have `doc` and `text`."""
     keys = lines.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("parts").alias("part"))
     shared = materialise(keys.groupBy("part").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("part"), "parts")
     # the sieve lets few others through, so what is joined exactly is small
     some = marked(keys, "part", shared).filter("_in").drop("_in").join(shared, "part").select("h1", "h2").distinct()
     # the earliest place of such a line tells where to read its words
     places = materialise(distinct.join(some, ["h1", "h2"]).select(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), "first"), "places")
-    held = marked(docs.select("doc", text), "doc", places.select("doc")).filter("_in").drop("_in").dropDuplicates(["doc"])
-    found = held.join(places, "doc").select("first", words_of(F.element_at(F.split(text, "\n"), F.col("line_no") + 1)).alias("words"))
+    held = marked(docs.select("doc", "text"), "doc", places.select("doc")).filter("_in").drop("_in").dropDuplicates(["doc"])
+    found = held.join(places, "doc").select("first", words_of(F.element_at(F.split("text", "\n"), F.col("line_no") + 1)).alias("words"))
     found = found.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
     found = found.select("first", "words", "marks", *line_hashes("marks"))
     whole = F.aggregate("marks", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h))
@@ -120,18 +129,20 @@ def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text: str
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
     """docs with the lines that stay, and n_lines (lines with a word), n_exact and n_near (lines that went)."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
+    own = others(docs, ("n_lines", "n_exact", "n_near"))
+    rest = [c for c in own if c != text]
     # rows with equal id and text are one text: (null or not, id, hash of the text), which orders them, too
-    doc = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
-    keyed = docs.select(*own, doc.alias("doc"))
-    lines = keyed.select("doc", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select("doc", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
+    key = column(id_col)
+    doc = F.struct(key.isNull().alias("absent"), key.alias("id"), F.xxhash64(column(text)).alias("text"))
+    keyed = docs.select((F.struct(*map(column, rest)) if rest else F.lit(0)).alias("row"), column(text).alias("text"), doc.alias("doc"))
+    lines = keyed.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
     # from here on a word is its hash, which is hashed once
     lines = lines.select("doc", "line_no", F.transform(F.split("line", SPACES), lambda w: F.xxhash64(w)).alias("marks")).withColumn("n", F.size("marks"))
     lines = lines.select("doc", "line_no", "n", *line_hashes("marks"), part_keys("marks", "n", min_words).alias("parts"))
     lines = materialise(lines, "lines")
     here = F.struct("doc", "line_no")
     distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")), "distinct")
-    gone = near_lines(keyed, lines, distinct, text, min_words).withColumn("near", F.lit(True))
+    gone = near_lines(keyed, lines, distinct, min_words).withColumn("near", F.lit(True))
     odd = distinct.join(gone, ["h1", "h2"], "left").filter((F.col("copies") > 1) | F.col("near"))
     later = F.col("first") < here
     lost = lines.select("doc", "line_no", "h1", "h2").join(odd, ["h1", "h2"]).filter(later | F.col("near")).select("doc", "line_no", later.alias("later"))
@@ -144,13 +155,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     unchanged = told.filter("not _in").withColumn("exact", F.array().cast("array<int>")).withColumn("near", F.array().cast("array<int>"))
     changed = told.filter("_in").join(places.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     out = unchanged.unionByName(changed.withColumn("exact", F.coalesce("exact", F.array().cast("array<int>"))).withColumn("near", F.coalesce("near", F.array().cast("array<int>"))))
-    all_lines = F.split(text, "\n")
+    all_lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.concat("exact", "near"))
-    kept = F.when(F.size("exact") + F.size("near") == 0, F.col(text)).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(all_lines, k + 1)), "\n"))
+    kept = F.when(F.size("exact") + F.size("near") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(all_lines, k + 1)), "\n"))
     filled = F.size(F.filter(all_lines, lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
     return out.select(
-        *[kept.alias(text) if c == text else F.col(c) for c in own],
-        F.when(F.col(text).isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
+        *[(kept if c == text else F.col("row").getField(c)).alias(c) for c in own],
+        F.when(F.col("text").isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
         F.size("exact").cast("long").alias("n_exact"),
         F.size("near").cast("long").alias("n_near"),
     )
