@@ -653,7 +653,7 @@ def test_unknown_tokenizers_take_texts_whole(tmp_path):
     spec["normalizer"] = None
     path = tmp_path / "other.json"
     path.write_text(json.dumps(spec), encoding="utf-8")
-    words = bin_packing.WordIds(str(path))
+    words = bin_packing.TextIds(str(path))
     assert not words.by_word
     got = words.encode(["Two  words\tHere", None], 0)
     assert np.frombuffer(got[0], "<u4").tolist() == [*words.model.encode("Two  words\tHere", add_special_tokens=False).ids, 0]
@@ -742,6 +742,19 @@ def test_line_rules():
     assert line_quality.line_verdict("=== 12 == 34 -- 56 ===", rules) == "few letters"
     assert line_quality.line_verdict("A### sentence$$$ full%%% of marks.", rules) == "symbols"
     assert line_quality.line_verdict("A sentence with words, as they come.", rules) == ""
+    assert line_quality.line_verdict("a line that breaks off in the middle and", rules, False) == "punctuation"
+    assert line_quality.line_verdict("What follows", rules, False, True) == "" and line_quality.line_verdict("What follows", rules, False, False) == "punctuation"
+    assert line_quality.line_verdict("what goes on for more than eight words is no heading", rules, False, True) == "punctuation"
+    assert all(line_quality.line_verdict(item + " one of a list", rules, False) == "" for item in ("-", "*", " •", "12.", "3)"))
+
+
+def test_lines_without_an_end_go_and_count(spark):
+    text = "A heading\nThis is a sentence that ends as one.\nthis one does not end so\n- an item of a list here\n\nneither does this, the last of them"
+    docs = spark.createDataFrame([(1, text, "mine", 5)], "doc_id long, text string, lost string, `a.b` int")
+    r = line_quality.clean_lines(docs).first()
+    assert r["clean_text"] == "A heading\nThis is a sentence that ends as one.\n- an item of a list here\n" and r["lines_failed"] == 2
+    gone = sum(len("".join(x.split())) for x in ("this one does not end so", "neither does this, the last of them"))
+    assert abs(r["lost"] - gone / r["word_chars"]) < 1e-12 and r["kept"] and r["a.b"] == 5
 
 
 def test_pieces(docs, rows, none):
