@@ -43,20 +43,38 @@ SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
-class WordIds:
-    """Token ids of texts through a tokenizer, each distinct word once.
-
-    A tokenizer with the split and the normaliser above never joins words across ASCII white
-    space. Its words of printable ASCII and Latin-1 letters are cut into the tokenizer's parts
-    here and go straight to its BPE model, each distinct part once; other words, and those
-    that hold the string of an added token, take its whole way. Texts of any other tokenizer
-    go to it whole.
+class PartIds(dict):
+    """part of a word (lower case) -> its ids as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.model.tokenize
+        self.numbers = [k.to_bytes(4, "little") for k in range(model.get_vocab_size(with_added_tokens=True))]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def __missing__(self, part: str) -> bytes:
+        shown = part if part.isalnum() and part.isascii() else part.encode().decode("latin-1").translate(self.byte_names)
+        numbers = self.numbers
+        self[part] = value = b"".join([numbers[t.id] for t in self.tokenize(shown)])
+        return value
+
+
+class TextIds:
+    """Token ids of texts through a tokenizer, each distinct part of a word once.
+
+    A tokenizer with the normaliser and the split above cuts texts of printable ASCII, Latin-1
+    letters and ASCII white space at white space and into parts that are found here, which go
+    straight to its BPE model. Other texts, those that hold the string of an added token, and
+    all texts of any other tokenizer take its whole way: word by word, if its words don't
+    depend on each other, so that each distinct word goes once.
     """
 
-    PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    PLAIN = re.compile("[\t-\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\t-\r\x20]+")
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,36 +86,29 @@ class WordIds:
         self.by_word = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == split and not any(re.search(r"\s", t) for t in added)
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.remember = remember
-        self.known: dict[bytes, bytes] = {}
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.parts = PartIds(self.model)
+        self.words: dict[bytes, bytes] = {}
 
-    def learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
-        for w in new:
-            text = w.decode("utf-8", "replace")
-            (plain if self.PLAIN.fullmatch(text) and not self.added.search(text) else other).append((w, text))
-        parts = [self.PART.findall(text.lower()) for _, text in plain]
-        tokenize = self.model.model.tokenize
-        ids = {p: np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(self.byte_names))], dtype="<u4").tobytes() for p in set().union(*parts)}
-        self.known.update((w, b"".join([ids[p] for p in ps])) for (w, _), ps in zip(plain, parts, strict=True))
-        for k in range(0, len(other), 20_000):
-            part = other[k : k + 20_000]
-            got = self.model.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            self.known.update((w, np.array(g.ids, dtype="<u4").tobytes()) for (w, _), g in zip(part, got, strict=True))
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(g.ids, dtype="<u4").tobytes() for g in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then `end`."""
+        if len(self.parts) > self.remember:
+            self.parts.clear()
+        if len(self.words) > self.remember:
+            self.words.clear()
+        last = end.to_bytes(4, "little")
         if not self.by_word:
-            whole = self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            return [np.array([*g.ids, end], dtype="<u4").tobytes() for g in whole]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        self.learn(list(set().union(*words).difference(self.known)))
-        known, last = self.known, np.array([end], dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) + last for ws in words]
+            return [ids + last for ids in self.whole([t or "" for t in texts])]
+        plain = [not t or (self.PLAIN.fullmatch(t) is not None and not self.added.search(t)) for t in texts]
+        words = [None if p else t.encode("utf-8", "surrogatepass").split() for p, t in zip(plain, texts, strict=True)]
+        new = list(set().union(*(w for w in words if w)).difference(self.words))
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            self.words.update(zip(some, self.whole([w.decode("utf-8", "replace") for w in some]), strict=True))
+        part, word = self.parts.__getitem__, self.words.__getitem__
+        return [b"".join(map(part, self.PART.findall(t.lower())) if p and t else map(word, w or ())) + last for t, p, w in zip(texts, plain, words, strict=True)]
 
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -109,12 +120,12 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end: int = 0, text: str =
     schema = T.StructType(own + T._parse_datatype_string(PIECE).fields + ([T.StructField("ids", T.BinaryType())] if keep_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        ids_of = TextIds(path)
         for whole in batches:
             for k in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(k, rows_at_once)
                 row, piece, raw = [], [], []
-                for i, ids in enumerate(words.encode(batch.column(batch.schema.get_field_index(text)).to_pylist(), end)):
+                for i, ids in enumerate(ids_of.encode(batch.column(batch.schema.get_field_index(text)).to_pylist(), end)):
                     for p, a in enumerate(range(0, len(ids), 4 * size)):
                         row.append(i)
                         piece.append(p)
