@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm import bin_packing, components, cross_parse, interpolated_lm, jaccard_join, line_dedup, line_quality, piece_bpe, secret_scan, toxicity, vector_links
+from tracewarden.llm import bin_packing, common, components, cross_parse, interpolated_lm, jaccard_join, line_dedup, line_quality, piece_bpe, secret_scan, toxicity, vector_links
 
 tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("score", T.StringType()), T.StructField("h", T.IntegerType())])
@@ -205,16 +205,15 @@ def test_jaccard_join_keeps_columns_of_any_name(spark):
     assert sorted(list(r)[:9] + [r["component_id"]] for r in out.collect()) == [[k, *range(2, 9), 3, 4] for k in (4, 7)]
 
 
-def test_more_parts_than_names(spark, monkeypatch):
-    """Parts past the names that a message has are told apart by further bits of the hashes."""
-    monkeypatch.setattr(jaccard_join, "MOST_NAMES", 3)
-    monkeypatch.setattr(jaccard_join, "PART_HASHES", 40)
-    rnd = random.Random(31)
-    base = [prose(rnd, 40) for _ in range(12)]
-    out = base + [" ".join(t.split()[1:]) for t in base]
-    assert jaccard_join.part_names(17) == (3, 6)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")).collect()}
-    assert got == {k: k % 12 for k in range(24)}
+def test_parts_past_the_names_that_a_message_has():
+    """Parts of more than 16 bits are even, and a key is told from others of its part by the 48 bits that are sent."""
+    keys = np.random.default_rng(1).integers(0, 1 << 64, 400_000, dtype=np.uint64)
+    for parts in (1, 7, 60_000, 200_000):
+        names, subs = common.part_names(parts)
+        part = common.part_of(keys, parts)
+        assert part.min() >= 0 and part.max() < names * subs and parts <= names * subs <= 1.01 * parts + subs * names / 10 + names
+        assert len({*zip(part.tolist(), (keys >> np.uint64(16)).tolist())}) == len(keys)
+        assert np.bincount(part).max() < 40 + 2 * len(keys) / parts
 
 
 def test_language_model(docs, rows, none, monkeypatch):
@@ -231,16 +230,41 @@ def test_language_model(docs, rows, none, monkeypatch):
     assert interpolated_lm.score_texts(none, F.lit(True)).count() == 0
 
 
-def test_language_model_probabilities_sum_to_one(spark):
-    """Over all words known and one unknown, after a known context."""
-    texts = ["a b a b c", "a b c", "b c a", "c a b a"] * 5
-    words = ["a", "b", "c", "zz", None]
-    probe = [(100 + k, "a b" + (f" {w}" if w else "")) for k, w in enumerate(words)]
-    docs = spark.createDataFrame(list(enumerate(texts)) + probe, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in interpolated_lm.score_texts(docs, F.col("doc_id") < 100).collect()}
-    # score('a b') = p(a) p(b|a) p(end|b); with w: p(a) p(b|a) p(w|b) p(end|w)
-    assert got[104] > got[103]
-    assert all(v < 0 for v in got.values())
+def test_language_model_scores_are_those_of_brute_force(docs, rows):
+    """Counts by dictionaries, weights from deleted counts, probabilities one by one; all words known and one unknown sum to one."""
+    train = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
+    got = collections.Counter((r["doc_id"], round(r["score"], 6)) for r in interpolated_lm.score_texts(docs, train).collect())
+    tokens = [(i, [*(t or "").encode().lower().split(), "end"]) for i, t in rows]
+    taught = [ws for i, ws in tokens if (i or 0) % 3 != 1]
+    one, two = collections.Counter(), collections.Counter()
+    for ws in taught:
+        one.update(ws)
+        two.update(zip(["end", *ws], ws))  # a text's start occurs as often as its end
+    total, uniform = sum(one.values()), 1 / (len(one) + 1)
+
+    def bucket(c):
+        return min(1 + int(math.log2(c)), interpolated_lm.BUCKETS - 1) if c > 0 else 0
+
+    def cell(p):
+        return 1 + min(max(round(-math.log10(p) / 0.1), 0), 98) if p > 0 else 0
+
+    cells = collections.Counter()
+    for ws in taught:
+        for v, w in zip(["end", *ws], ws):
+            c = one[v] - 1
+            cells[bucket(c), cell((two[v, w] - 1) / c if c > 0 else 0), cell((one[w] - 1) / (total - 1))] += 1
+    weights = interpolated_lm.learn_weights(dict(cells), uniform)
+    assert np.allclose(weights.sum(axis=1), 1)
+
+    def p(w, v):
+        l2, l1, l0 = weights[bucket(one[v])]
+        return l2 * (two[v, w] / one[v] if one[v] else 0) + l1 * one[w] / total + l0 * uniform
+
+    want = collections.Counter((i, round(sum(math.log10(p(w, v)) for v, w in zip(["end", *ws], ws)), 6)) for i, ws in tokens)
+    near = sorted(got.elements(), key=str), sorted(want.elements(), key=str)
+    assert all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-5 for x, y in zip(*near, strict=True))
+    for v in ["end", *list(one)[:20]]:
+        assert abs(sum(p(w, v) for w in [*one, "no such word"]) - 1) < 1e-9
 
 
 def test_weights_rise_with_context_counts():

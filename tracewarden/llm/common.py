@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share; one of our own only where none is set, and only on a local master."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not own:
         own = spark.conf.get("spark.tracewarden.scratch", None)
     if not own:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="tracewarden-")
         spark.conf.set("spark.tracewarden.scratch", own)
     return own.rstrip("/")
@@ -53,6 +56,31 @@ def others(df: DataFrame, made: tuple[str, ...]) -> list[str]:
     return [c for c in df.columns if c.lower() not in made]
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow that takes columns of any name."""
+    names = df.columns
+
+    def named(batches):
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(named, schema)
+
+
+MOST_NAMES = 60_000
+
+
+def part_names(parts: int) -> tuple[int, int]:
+    """Names (of 16 bits) and parts of one name: a part is name * subs + sub."""
+    names = min(parts, MOST_NAMES)
+    return names, -(-parts // names)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 64-bit key: its name and the upper 48 bits tell the keys of a part apart, and give the sub."""
+    names, subs = part_names(parts)
+    return (keys % np.uint64(names)).astype(np.int64) * subs + (keys >> np.uint64(16)).astype(np.int64) % subs
+
+
 def lower_ascii(column: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(column, UPPER, LOWER)

@@ -10,7 +10,9 @@ the samples has a symbol of its own; the table has a column for the `most_letter
 commonest, transitions by other letters lie in a sorted list.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no
-language was learned. An empty table gives an empty table; other columns are kept.
+language was learned. Texts of any length are parsed whole. Repeated rows get equal results;
+among the rows that may be samples each counts. An empty table gives an empty table. Columns
+named like a result (lang_pred, score, entropy) are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import fold
+from tracewarden.llm.common import column, fold, map_arrow, others
 
 SPACE, RARE = 0, 1
 
@@ -168,7 +170,7 @@ class Parser:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_chars: int = 30_000, total_chars: int = 240_000) -> Parser:
     """Samples of whole texts: at most `sample_chars` code points a language, `total_chars` in all."""
-    named = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"))
+    named = docs.select(column(lang).alias("lang"), column(text).alias("text"), F.xxhash64(column(id_col), column(text)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     named = named.withColumn("n", F.length("text"))
     counts = {r["lang"]: r["c"] for r in named.groupBy("lang").agg(F.count("*").alias("c")).collect()}
     if not counts:
@@ -190,7 +192,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
 
 def identify(docs: DataFrame, parser: Parser, text: str = "text", keep_text: bool = True, sharpness: float = 8.0) -> DataFrame:
     """docs with `lang_pred`, `score` (0 to 1: share of the winner among exp(-sharpness * entropy)) and `entropy` (bits a symbol)."""
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "entropy") and (keep_text or f.name != text)]
+    kept = set(others(docs, ("lang_pred", "score", "entropy")))
+    own = [f for f in docs.schema.fields if f.name in kept and (keep_text or f.name != text)]
     schema = T.StructType(own + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
@@ -215,7 +218,7 @@ def identify(docs: DataFrame, parser: Parser, text: str = "text", keep_text: boo
                 columns += [pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(entropy)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op5_cross_parsing(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ counts of their tokens; these, much smaller than the texts, serve learning and s
 For learning, pairs of probabilities are counted in a fixed grid, which the driver sees.
 
 Null and empty texts are one end token. Repeated rows are scored each (and counted each in
-training). An empty table gives an empty table; without training texts N = V = 0.
+training). A very long text is a block of its own. Nothing depends on the order of rows, so
+ties have no effect. An empty table gives an empty table; without training texts N = V = 0.
+Only the id and results are returned, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -27,16 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import WordHashes, discard, fold, materialise, mix, split_count, word_bytes
+from tracewarden.llm.common import WordHashes, column, discard, fold, materialise, mix, part_of, split_count, word_bytes
 
 BLOCK_CHARS, PART_CHARS = 4_000_000, 10_000_000
 END, START = np.uint64(0x5EED0FE2D0000001), np.uint64(0x5EED057A27000002)
 BUCKETS, STEP, Q1, Q2 = 24, 0.1, 100, 100  # powers of two of c(v); cells of -log10 of the probabilities
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text: str, train: Column) -> DataFrame:
-    """One row per block: its ids, texts and training flags."""
-    id_type = docs.schema[id_col].dataType
+def pack_blocks(docs: DataFrame) -> DataFrame:
+    """One row per block of (id, text, train): its ids, texts and training flags."""
+    id_type = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("train", T.ArrayType(T.BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +69,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text: str, train: Column) -> DataF
         if held:
             yield flush()
 
-    return docs.select(F.col(id_col), F.col(text), train.cast("boolean")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 class Grams:
@@ -89,13 +91,14 @@ class Grams:
         self.keys, self.at, self.cuts = [], [], []
         for key in (token, mix(before * np.uint64(0x9E3779B97F4A7C15) + token)):
             distinct, back = np.unique(key, return_inverse=True)
-            part = distinct % np.uint64(parts)
-            order = np.argsort(part.astype(np.uint16), kind="stable")
+            part = part_of(distinct, parts)
+            order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             self.keys.append(distinct[order])
             self.at.append(place[back])
-            self.cuts.append(np.searchsorted(part[order], np.arange(parts + 1)))
+            present, first = np.unique(part[order], return_index=True)
+            self.cuts.append(list(zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=False)))
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -109,8 +112,8 @@ def widen(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
-ASKED = "part int, block string, kind int, keys binary, counts binary"
-ANSWER = "block string, part int, kind int, counts binary, total long, distinct long"
+ASKED = "part long, block string, kind int, keys binary, counts binary"
+ANSWER = "block string, part long, kind int, counts binary, total long, distinct long"
 COUNTED = "block string, ids {}, train array<boolean>, lengths binary, words binary, pairs binary"
 
 
@@ -126,15 +129,13 @@ def ask(blocks: DataFrame, parts: int) -> DataFrame:
                 rows: list[list] = [[], [], [], []]
                 for kind in (0, 1):
                     count = np.bincount(grams.at[kind][taught], minlength=len(grams.keys[kind]))
-                    cuts = grams.cuts[kind].tolist()
-                    for p, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if hi > lo:
-                            keys = grams.keys[kind][lo:hi].astype("<u8")
-                            raw = keys.tobytes() if kind == 0 else np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-                            for column, value in zip(rows, (p, kind, raw, narrow(count[lo:hi])), strict=True):
-                                column.append(value)
+                    for p, lo, hi in grams.cuts[kind]:
+                        keys = grams.keys[kind][lo:hi].astype("<u8")
+                        raw = keys.tobytes() if kind == 0 else np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+                        for values, value in zip(rows, (p, kind, raw, narrow(count[lo:hi])), strict=True):
+                            values.append(value)
                 n = len(rows[0])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([block.as_py()] * n, pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["part", "block", "kind", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array([block.as_py()] * n, pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["part", "block", "kind", "keys", "counts"])
 
     return blocks.select("block", "texts", "train").mapInArrow(run, ASKED)
 
@@ -167,7 +168,7 @@ def answer(table: pa.Table) -> pa.Table:
             for column, value in zip(out, row, strict=True):
                 column.append(value)
     n = len(out[0])
-    return pa.table({"block": pa.array(out[0], pa.string()), "part": pa.array([part] * n, pa.int32()), "kind": pa.array(out[1], pa.int32()), "counts": pa.array(out[2], pa.binary()), "total": pa.array(out[3], pa.int64()), "distinct": pa.array(out[4], pa.int64())})
+    return pa.table({"block": pa.array(out[0], pa.string()), "part": pa.array([part] * n, pa.int64()), "kind": pa.array(out[1], pa.int32()), "counts": pa.array(out[2], pa.binary()), "total": pa.array(out[3], pa.int64()), "distinct": pa.array(out[4], pa.int64())})
 
 
 def put_counts(parts: int, schema: pa.Schema):
@@ -239,14 +240,15 @@ def learn_weights(cells: dict[tuple[int, int, int], int], uniform: float, rounds
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, train, n_tokens, n_known, train_tokens, base_score and score of every row, learned from rows where `train` holds."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    parts = min(60_000, split_count(chars, PART_CHARS))
-    blocks = materialise(pack_blocks(docs, id_col, text, train), "blocks")
+    docs = docs.select(column(id_col).alias("id"), column(text).alias("text"), train.cast("boolean").alias("train"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = split_count(chars, PART_CHARS)
+    blocks = materialise(pack_blocks(docs), "blocks")
     asked = ask(blocks, parts)
     answers = materialise(asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, ANSWER), "answers")
     sums = answers.filter("kind = 0").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = int(sums[0] or 0), int(sums[1] or 0)
-    id_type = docs.schema[id_col].dataType
+    id_type = docs.schema["id"].dataType
     spec = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(id_type)), *T._parse_datatype_string("train array<boolean>, lengths binary, words binary, pairs binary").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 

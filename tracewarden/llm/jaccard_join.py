@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import WordHashes, column, discard, materialise, others, split_count, window_hashes, word_bytes
+from tracewarden.llm.common import WordHashes, column, discard, materialise, others, part_names, part_of, split_count, window_hashes, word_bytes
 from tracewarden.llm.components import components
 
 PART_HASHES = 2_000_000  # hashes a part handles at once
@@ -73,27 +73,17 @@ def class_rows(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("row", "id", "text").mapInArrow(run, schema)
 
 
-MOST_NAMES = 60_000  # of 16 bits; more parts are told apart by the bits that messages hold
-
-
-def part_names(parts: int) -> tuple[int, int]:
-    """Names, and parts of one name: a part is name * subs + sub."""
-    names = min(parts, MOST_NAMES)
-    return names, -(-parts // names)
-
-
 BLOCKS = "part long, classes binary, sizes binary, counts binary, hashes binary"
 
 
 def deal_sets(docs: DataFrame, width: int, parts: int, text: str) -> DataFrame:
     """Blocks of sets for each part; a class goes out once a task."""
-    names, subs = part_names(parts)
 
     def flush(classes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(sets)
         size = np.array([len(s) for s in sets], dtype=np.int64)
         doc = np.repeat(np.arange(len(sets)), size)
-        part = (flat % np.uint64(names)).astype(np.int64) * subs + (flat >> np.uint64(16)).astype(np.int64) % subs
+        part = part_of(flat, parts)
         order = np.argsort(part, kind="stable")
         flat, doc, part = flat[order] >> np.uint64(16), doc[order], part[order]
         edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import WordHashes, others, window_hashes
+from tracewarden.llm.common import WordHashes, map_arrow, others, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 
@@ -155,7 +155,7 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
                 columns += [pa.array(got[m.name], kinds.get(m.name, pa.int64())) for m in made]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op9_line_first_cleaning(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ All distinct new segments of a batch lie in flat symbol arrays. In each round ev
 segment finds the least rank among its adjacent pairs, merges the leftmost pairs of that
 rank at once, and the arrays are compacted, until no segment has a pair of the vocabulary.
 
-Null and empty texts give the end id alone and decode to ''. Repeated rows and further
-columns are kept as they are; an empty table gives an empty table.
+Null and empty texts give the end id alone and decode to ''. Texts of any length are encoded
+whole. Of pairs that tie in rank the leftmost is merged first. Repeated rows and further
+columns, whatever their names, are kept as they are, but for columns named like a result
+(`ids` and the one for decoded texts), which are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.llm.common import map_arrow, others
+
 MARK = "▁"
 NONE = np.int64(1 << 40)
 FREE = 1 << 21  # symbols from here on are code points without a piece
@@ -229,7 +233,8 @@ def decode_flat(table: MergeTable, ids: np.ndarray, at: np.ndarray) -> pa.Array:
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: str | None = None, rows_at_once: int = 1500) -> DataFrame:
     """Adds `ids` (array<int>, the end id last) to docs and, if asked, a column with the decoded text."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "ids" and f.name != decoded])
+    stay = set(others(docs, ("ids", *((decoded.lower(),) if decoded else ()))))
+    schema = T.StructType([f for f in docs.schema.fields if f.name in stay])
     kept = schema.names
     schema = T.StructType(schema.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decoded:
@@ -248,7 +253,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: str |
                     columns.append(decode_flat(table, ids, at))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op10_piece_bpe(spark, sf_dir: str) -> DataFrame:

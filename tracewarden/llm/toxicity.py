@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import column, fold, others
+from tracewarden.llm.common import column, fold, map_arrow, others
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
             columns += [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def learned(spark, sf_dir: str) -> Model:
