@@ -74,9 +74,12 @@ def sieve_bits(members: int) -> int:
 
 
 def sieve(members: DataFrame, name: str, size: int) -> DataFrame:
-    """(page, bits): a bitmap of the hashes of a column's values, in at most size / PAGE rows."""
+    """(page, bytes): a bitmap of the hashes of a column's values, in at most size / PAGE rows."""
     place = F.pmod(F.xxhash64(name), F.lit(size))
-    return members.select(F.floor(place / PAGE).cast("int").alias("page"), (place % PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    held = members.select(F.floor(place / PAGE).cast("int").alias("page"), (place % PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # signed bytes: a byte of an array is found without any text in between
+    value = F.transform(F.sequence(F.lit(1), F.length("bits")), lambda k: F.conv(F.hex(F.substring("bits", k, 1)), 16, 10).cast("int"))
+    return held.select("page", F.transform(value, lambda v: F.when(v > 127, v - 256).otherwise(v).cast("tinyint")).alias("bytes"))
 
 
 def marked(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
@@ -86,10 +89,8 @@ def marked(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64(name), F.lit(size))
     rows = df.withColumn("_page", F.floor(place / PAGE).cast("int")).withColumn("_bit", (place % PAGE).cast("int"))
     rows = rows.join(held, F.col("_page") == F.col("page"), "left")
-    byte = F.conv(F.hex(F.expr("substring(bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("_bit % 8")
-    one = F.when(F.col("bits").isNotNull(), F.floor(byte / F.pow(F.lit(2), bit)) % 2 == 1)
-    return rows.withColumn("_in", F.coalesce(one, F.lit(False))).drop("_page", "_bit", "page", "bits")
+    one = F.expr("bit_get(get(bytes, _bit div 8), _bit % 8) = 1")
+    return rows.withColumn("_in", F.coalesce(one, F.lit(False))).drop("_page", "_bit", "page", "bytes")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
@@ -106,15 +107,17 @@ def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, min_words
     found = found.select("first", "words", "marks", *line_hashes("marks"))
     whole = F.aggregate("marks", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h))
     found = materialise(found.withColumn("whole", whole), "candidates")
+    # a variant's mark ignores the order of words, so that all variants of a line cost its length, not the square of it
     marks = F.concat(
         F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("whole", F.size("words")).alias("mark"))),
         F.transform("marks", lambda h, k: F.struct((k + 1).alias("at"), F.xxhash64(F.col("whole").bitwiseXOR(h), F.size("words") - 1).alias("mark"))),
     )
     variants = found.select("h1", "h2", F.explode(marks).alias("v")).select("h1", "h2", "v.at", "v.mark")
-    met = variants.groupBy("mark").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("mark")
-    hits = variants.join(met, "mark").select("h1", "h2", "at")
+    met = materialise(variants.groupBy("mark").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("mark"), "met")
+    # few others pass the sieve; they are groups of one, which lose nothing
+    hits = marked(variants, "mark", met).filter("_in").select("h1", "h2", "at")
     rest = hits.join(found.select("h1", "h2", "first", "marks"), ["h1", "h2"]).withColumn("rest", without("marks", "at"))
-    rest = rest.select("h1", "h2", "first", "at", F.xxhash64("rest").alias("r1"), F.xxhash64(F.lit(1), "rest").alias("r2"))
+    rest = materialise(rest.select("h1", "h2", "first", "at", F.xxhash64("rest").alias("r1"), F.xxhash64(F.lit(1), "rest").alias("r2")), "variants")
     best = rest.groupBy("r1", "r2").agg(F.min(F.struct("first", "at")).alias("best"))
     # all lines of a group go but its earliest; every group of a line counts, and its words are compared in each
     pairs = rest.join(best, ["r1", "r2"]).filter(F.col("best.first") < F.col("first")).select("h1", "h2", "at", F.col("best.first").alias("best"), F.col("best.at").alias("best_at"))
@@ -122,7 +125,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, min_words
     two = found.select(F.col("first").alias("best"), F.col("words").alias("b"))
     same = pairs.join(one, ["h1", "h2"]).join(two, "best").filter(without("a", "at") == without("b", "best_at"))
     gone = materialise(same.select("h1", "h2").distinct(), "gone")
-    for table in (shared, places, found):
+    for table in (shared, places, found, met, rest):
         discard(docs.sparkSession, table)
     return gone
 

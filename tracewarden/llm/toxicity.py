@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,7 +62,7 @@ class TermCounter(dict):
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the text's different words, rising, and their counts."""
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         counts = Counter(WORD.findall(text.lower())) if text else {}
         terms = np.fromiter(map(self.__getitem__, counts), np.uint64, len(counts))
@@ -84,7 +85,7 @@ class BlockIndex:
     rows has a weight for every row, so that a matrix product sums such terms for many texts.
     """
 
-    def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, y: list[int], ids: list[str], copies: list[float], size: int, block: int, dense_share: int = 24):
+    def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, y: list[int], ids: list[str], copies: list[float], size: int, block: int, dense_share: int = 16):
         n = len(start) - 1
         heaviest = [int(term[a:b][np.argmax(weight[a:b])]) if b > a else -1 for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
         have = np.bincount(term, minlength=size)
@@ -95,7 +96,7 @@ class BlockIndex:
         at = np.array(order, np.int64)
         pick, sizes = spread(start[at], start[at + 1])
         row, term, weight = np.repeat(np.arange(n), sizes), term[pick], weight[pick]
-        self.start, self.terms, self.weights = np.concatenate([[0], np.cumsum(sizes)]), term, weight  # by row
+        self.rows = np.concatenate([[0], np.cumsum(sizes)]), term.astype(np.int32), weight  # needed only where rows are asked for, see bare()
         frequent = np.flatnonzero(have * dense_share > n)
         self.slot = np.full(size, -1, np.int32)
         self.slot[frequent] = np.arange(len(frequent))
@@ -108,15 +109,15 @@ class BlockIndex:
         # an entry is the part of a term's list that lies in one block
         key = term.astype(np.int64) * max(1, self.blocks) + self.row // block
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.cut = np.r_[first, len(key)].astype(np.int64)
+        self.cut = np.r_[first, len(key)].astype(np.int32)
         self.entry_block = (self.row[first] // block).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(term[first], np.arange(size + 1))
+        self.entries = np.searchsorted(term[first], np.arange(size + 1)).astype(np.int32)
 
     def of_row(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a row."""
-        a, b = self.start[row], self.start[row + 1]
-        return self.terms[a:b], self.weights[a:b]
+        start, terms, weights = self.rows
+        return terms[start[row] : start[row + 1]], weights[start[row] : start[row + 1]]
 
     def frequent_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What frequent terms add to the cosine of each query with each row."""
@@ -210,6 +211,14 @@ class Model:
             norm = np.sqrt(np.bincount(row, weight * weight, minlength=n))
             self.index = BlockIndex(start, term, weight / norm[row], y.astype(int).tolist(), [r[0] for r in sample], copies.tolist(), size, s.block)
 
+    def bare(self) -> Model:
+        """The model without what only learning needs, for scoring."""
+        out = copy(self)
+        if self.index is not None:
+            out.index = copy(self.index)
+            out.index.rows = None
+        return out
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the terms that the sample has, as part of a unit vector over all terms."""
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
@@ -309,27 +318,30 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
     kept = set(others(docs, ("score", "predicted", "evidence")))
     own = [(k, f) for k, f in enumerate(docs.schema.fields) if f.name in kept and (keep_text or f.name != text)]
     schema = T.StructType([f for _, f in own] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.bare())
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         counter = TermCounter()
         known: dict = {}  # copies of a text are scored once
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
-            for a in range(0, len(new), 256):
-                part = list(new)[a : a + 256]
-                scored = model.scores([counter.of(new[k]) for k in part])
-                known.update((k, (p, int(p >= model.s.threshold), ",".join(f"{i}:{c:.4f}" for i, c in evidence))) for k, (p, evidence) in zip(part, scored, strict=True))
-            out = [known[k] for k in keys]
-            if len(known) > 100_000:
-                known.clear()
-            columns = [batch.column(k) for k, _ in own]
-            columns += [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for whole in batches:
+            # few texts at a time are Python strings
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = batch.column(place).to_pylist()
+                keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+                for a in range(0, len(new), 64):
+                    part = list(new)[a : a + 64]
+                    scored = model.scores([counter.of(new[k]) for k in part])
+                    known.update((k, (p, int(p >= model.s.threshold), ",".join(f"{i}:{c:.4f}" for i, c in evidence))) for k, (p, evidence) in zip(part, scored, strict=True))
+                out = [known[k] for k in keys]
+                if len(known) > 20_000:
+                    known.clear()
+                columns = [batch.column(k) for k, _ in own]
+                columns += [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return map_arrow(docs, run, schema)
 
