@@ -125,8 +125,8 @@ def test_prefixes_lose_no_pair():
         assert len(chosen[0][1] & chosen[1][1]) >= min(chosen[0][0], chosen[1][0])
 
 
-def test_line_dedup(docs, rows, none):
-    got = collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_exact"], r["n_near"]) for r in line_dedup.dedup_lines(docs).collect())
+def plain_dedup(rows):
+    """(id, text left, lines, exact, near) of every row."""
     order = lambda i: (i is None, -1 if i is None else i)
     first = {}
     for i, t in rows:
@@ -154,7 +154,12 @@ def test_line_dedup(docs, rows, none):
             else:
                 stay.append(line)
         expected[(i, None if t is None else "\n".join(stay), n, exact, close)] += 1
-    assert got == expected and sum(x[4] for x in got) > 5
+    return expected
+
+
+def test_line_dedup(docs, rows, none):
+    got = collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_exact"], r["n_near"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == plain_dedup(rows) and sum(x[4] for x in got) > 5
     assert line_dedup.dedup_lines(none).count() == 0
 
 
@@ -322,18 +327,8 @@ def test_discoveries_are_those_of_a_plain_step_up():
             assert sum(c >= cut for c in cells) == (max(passed) if passed else 0)
 
 
-def test_random_spans_are_those_of_brute_force(spark):
-    """Every candidate's three tests by their textbook formulas, one step-up a stratum."""
-    rnd = random.Random(23)
-    base62 = secret_scan.DIGITS + secret_scan.UPPERS + secret_scan.LOWERS
-    texts = []
-    for k in range(200):
-        words = prose(rnd, 6).split()
-        words.insert(rnd.randrange(6), "".join(prose(rnd, rnd.randint(6, 20)).split()))
-        if k % 4 == 0:
-            words.insert(2, "".join(rnd.choice(rnd.choice((base62, "0123456789abcdef"))) for _ in range(rnd.choice((22, 30, 31, 50, 90)))))
-        texts.append(" ".join(words))
-    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["rank"] == 3} for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+def plain_random_spans(texts):
+    """Spans of every text's random strings of letters and digits."""
 
     def deviate(total, degrees, shift):
         mean, ratio = degrees + shift, 2 * (degrees + 2 * shift) / (9 * (degrees + shift) ** 2)
@@ -366,8 +361,24 @@ def test_random_spans_are_those_of_brute_force(spark):
         for cell, is_random, i, span in rows:
             if fine and is_random and 10.0 ** -(secret_scan.CELL * cell) <= max(fine):
                 want[i].add(span)
-    assert got == {i: want[i] for i in range(len(texts))}
-    assert sum(map(len, want.values())) >= 20
+    return [want[i] for i in range(len(texts))]
+
+
+def test_random_spans_are_those_of_brute_force(spark):
+    """Every candidate's three tests by their textbook formulas, one step-up a stratum."""
+    rnd = random.Random(23)
+    base62 = secret_scan.DIGITS + secret_scan.UPPERS + secret_scan.LOWERS
+    texts = []
+    for k in range(200):
+        words = prose(rnd, 6).split()
+        words.insert(rnd.randrange(6), "".join(prose(rnd, rnd.randint(6, 20)).split()))
+        if k % 4 == 0:
+            words.insert(2, "".join(rnd.choice(rnd.choice((base62, "0123456789abcdef"))) for _ in range(rnd.choice((22, 30, 31, 50, 90)))))
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["rank"] == 3} for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_random_spans(texts)
+    assert got == dict(enumerate(want))
+    assert sum(map(len, want)) >= 20
 
 
 def test_secrets_keep_columns_of_any_name(spark):
@@ -410,16 +421,8 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.score(docs, empty).collect()} == {0.0}
 
 
-def test_toxicity_scores_are_those_of_brute_force(spark):
-    """Whole vectors, all cosines, votes and calibration written out, for scored texts that nearly all miss the telling words."""
-    rnd = random.Random(21)
-    texts = [prose(rnd, rnd.randint(2, 40)) + (" horrid" if k % 4 == 0 else "") for k in range(240)] + ["", None, "12 34", "zzz qqq", "zzz " + prose(rnd, 10)]
-    texts += [texts[8]] * 5 + [texts[7].upper()]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    y = {k: int(k % 4 == 0) for k in range(0, 245) if k % 3}
-    s = toxicity.Settings(neighbours=5, block=8)
-    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(list(y.items()), "doc_id long, toxic int"), s)).collect()}
-
+def plain_toxicity(texts, y, s):
+    """Score of every text, whether it has a word of the sample, and the score of texts without one. y: label by place."""
     tf = [collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for t in texts]
     n, n1 = len(y), sum(y.values())
     have = collections.Counter(w for k in y for w in tf[k])
@@ -461,11 +464,23 @@ def test_toxicity_scores_are_those_of_brute_force(spark):
     pools = collections.Counter(round(level[v], 12) for v in x)
     curve = sorted((v, (level[v] * pools[round(level[v], 12)] + n1 / n) / (pools[round(level[v], 12)] + 1)) for v in level)
     curve = [(v, max(p for _, p in curve[: k + 1])) for k, (v, _) in enumerate(curve)]
+    known = [any(w in have for w in tf[k]) for k in range(len(texts))]
+    return [float(np.interp(vote(k), *zip(*curve))) if known[k] else plain for k in range(len(texts))], known, plain
+
+
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    """Whole vectors, all cosines, votes and calibration written out, for scored texts that nearly all miss the telling words."""
+    rnd = random.Random(21)
+    texts = [prose(rnd, rnd.randint(2, 40)) + (" horrid" if k % 4 == 0 else "") for k in range(240)] + ["", None, "12 34", "zzz qqq", "zzz " + prose(rnd, 10)]
+    texts += [texts[8]] * 5 + [texts[7].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    y = {k: int(k % 4 == 0) for k in range(0, 245) if k % 3}
+    s = toxicity.Settings(neighbours=5, block=8)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(list(y.items()), "doc_id long, toxic int"), s)).collect()}
+    want, known, plain = plain_toxicity(texts, y, s)
     for k, r in got.items():
-        known = any(w in have for w in tf[k])
-        want = float(np.interp(vote(k), *zip(*curve))) if known else plain
-        assert abs(r["score"] - want) < 1e-9, (k, r["score"], want)
-        assert (r["evidence"] != "") == known
+        assert abs(r["score"] - want[k]) < 1e-9, (k, r["score"], want[k])
+        assert (r["evidence"] != "") == known[k]
     assert sum(r["score"] == plain for r in got.values()) == 3
 
 

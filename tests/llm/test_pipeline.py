@@ -1,10 +1,16 @@
 """The pipeline's stages on a small table with planted cases."""
 
+import collections
 import random
+import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from test_operators import check_packing, prose
+from test_operators import check_packing, plain_components, plain_dedup, plain_random_spans, plain_set, plain_toxicity, prose
+from tracewarden.llm import toxicity
+from tracewarden.llm.common import materialise
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +37,6 @@ def folder(spark, tmp_path_factory):
 
 
 def test_stages(spark, folder):
-    from tracewarden.llm.common import materialise
-
     docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, folder), "test")
@@ -54,6 +58,62 @@ def test_stages(spark, folder):
     check_packing(packed, 2048)
 
 
+def test_every_stage_against_brute_force(spark, folder):
+    """Each stage's rows, from those of the stage before, by plain Python."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    def rows(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=lambda r: r[0])
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = rows(docs)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name):
+        nonlocal docs
+        docs = materialise(stages[name](spark, docs, folder), "test")
+        return docs
+
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    learned = {k: marks[i] for k, (i, _) in enumerate(before) if i in marks and zlib.crc32(str(i).encode()) % 3 != 1}
+    scores, _, _ = plain_toxicity([t for _, t in before], learned, toxicity.Settings())
+    assert min(abs(x - 0.7) for x in scores) > 1e-6
+    want = [r for r, x in zip(before, scores) if x < 0.7]
+    assert rows(step("toxicity")) == want and len(want) < len(before)
+
+    want = [(i, t) for i, t, n, exact, near in sorted(plain_dedup(want).elements()) if not n or n > exact + near]
+    assert rows(step("line dedup")) == want
+
+    sets = {i: plain_set(t) for i, t in want}
+    ids = list(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = plain_components(ids, links)
+    want = [(i, t) for i, t in want if not sets[i] or root[i] == i]
+    assert rows(step("n-gram Jaccard join")) == want and links
+
+    spans = plain_random_spans([t or "" for _, t in want])
+    clean = []
+    for (i, t), found in zip(want, spans):
+        found = found | {m.span() for m in re.finditer(r"token\x20*=\x20*[A-Za-z0-9+/_.=-]{8,}|[0-9a-f]{32,}", t or "")}
+        out, at = "", 0
+        for a, b in sorted(found):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        clean.append((i, out + t[at:] if found else t))
+    assert rows(step("secret scans")) == clean and clean != want
+
+    packed = step("best-fit packing").collect()
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = collections.Counter()
+    for i, t in clean:
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        expected.update((i, p, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for p, a in enumerate(range(0, len(ids), 2048)))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == expected
+    assert check_packing(packed, 2048) <= -(-sum(r["length"] for r in packed) // 2048) + 1
+
+
 def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
