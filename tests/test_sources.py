@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tracewarden.functions.timeparse import parse_time, time_literal, time_range
 from tracewarden.operators import journeys
@@ -102,5 +103,68 @@ def test_status_pages_and_text(spark, tmp_path):
     assert journeys.status(events, "user_id", "u", 500, 600) == "empty"
     assert journeys.page(journeys.user_journey(events, "u"), 2).count() == 20
     assert "TOTAL" in report.render(detect(events), events)
-    report.write_csv(detect(events), events, str(tmp_path / "csv"), single_file=True)
+    found = detect(events)
+    report.write_csv(found, events, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["timestamp", "user_id", "device_id", "anomaly_type", "severity"]
+    report.write_csv(found, events, str(tmp_path / "one.csv"), single_file=True)
+    lines = (tmp_path / "one.csv").read_text().split("\n")
+    assert lines[0] == report.CSV_HEADER and len(lines) == found.count() + 2 and lines[-1] == ""
+
+
+def test_csv_writes_values_as_they_are(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text('a "b",d\\e,a,r,ACCESS,US,61200\n')
+    events = read_log(spark, str(path))[0]
+    report.write_csv(detect(events), events, str(tmp_path / "out.csv"), single_file=True)
+    assert (tmp_path / "out.csv").read_text() == report.CSV_HEADER + '\n1970-01-01 17:00:00,a "b",d\\e,OUT_OF_HOURS,LOW\n'
+
+
+def test_snapshots_are_pruned_by_time(spark, tmp_path):
+    """A range reaches the files as a filter, and files hold ranges of time that don't overlap."""
+    source = tmp_path / "log.csv"
+    source.write_text("\n".join(f"u{k},d,a,r,LOGIN,US,{1000 + k * 7 % 5000}" for k in range(5000)))
+    place = snapshot.snapshot_path(str(source))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        snapshot.write_snapshot(read_log(spark, str(source))[0], place, str(source))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    rows = journeys.in_range(snapshot.load_snapshot(spark, place), 2000, 2100)
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp,2000), LessThanOrEqual(timestamp,2100)]" in rows._jdf.queryExecution().explainString(rows.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert rows.count() == 101
+    ranges = sorted((r["lo"], r["hi"]) for r in snapshot.load_snapshot(spark, place).groupBy(F.input_file_name()).agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).collect())
+    assert len(ranges) > 1 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_a_failed_snapshot_leaves_the_old_one(spark, tmp_path, monkeypatch):
+    source = tmp_path / "log.csv"
+    source.write_text(f"{HEADER}\n{ROW}\n")
+    first = [tuple(r) for r in snapshot.open_log(spark, str(source)).collect()]
+    monkeypatch.setattr(snapshot, "checksum", lambda events: 1 / 0)
+    source.write_text(f"{HEADER}\n{ROW}\n{ROW.replace('LOGIN', 'LOGOUT')}\n")
+    with pytest.raises(ZeroDivisionError):
+        snapshot.open_log(spark, str(source))
+    monkeypatch.undo()
+    assert [tuple(r) for r in snapshot.load_snapshot(spark, snapshot.snapshot_path(str(source))).collect()] == first
+
+
+def test_decode_and_shared_places(spark):
+    rows = [("u1", "d", "a", "r9", "LOGIN", "US", 1, 0), ("r2", "d", "a", "r9", "LOGIN", "US", 2, 1), ("u1", "d", "a", "r1", "LOGIN", "US", 3, 2), ("u1", "d", "a", "r2", "LOGIN", "US", 4, 3)]
+    events = spark.createDataFrame(rows, "user_id string, device_id string, app_id string, resource_id string, event_type string, location string, timestamp long, seq long")
+    ids = {r["value"]: r["id"] for r in journeys.dictionary(events).collect()}
+    assert ids == {"u1": 0, "d": 1, "a": 2, "r9": 3, "r2": 4, "r1": 5}
+    # r1 comes before r2 among resources, but r2 was seen first, as a user
+    assert [r["resource_id"] for r in journeys.top_resources(events).orderBy("rank").collect()] == ["r9", "r2", "r1"]
+    # chains of two: ids 3 and 5 (r9, r1) are in one, where the later first event leads
+    assert [r["resource_id"] for r in journeys.top_resources(events, buckets=2).orderBy("rank").collect()] == ["r9", "r2", "r1"]
+    coded = spark.createDataFrame([("4",), ("99",)], "id_text string")
+    assert sorted(r[0] for r in journeys.decode(coded, journeys.dictionary(events), "id_text").collect()) == ["", "r2"]
+
+
+def test_other_thresholds(spark):
+    from tests.test_rules import event
+    from tracewarden.schema import Thresholds
+
+    events = spark.createDataFrame([tuple(event(k, 1_700_000_000 + 10 * k, "FAILED_LOGIN").values()) for k in range(9)], "user_id string, device_id string, app_id string, resource_id string, event_type string, location string, timestamp long, seq long")
+    assert [r["seq"] for r in detect(events, Thresholds(brute_force=(3, 20)), only=("BRUTE_FORCE",)).orderBy("seq").collect()] == [2, 5, 8]
+    assert detect(events, Thresholds(brute_force=(3, 19)), only=("BRUTE_FORCE",)).count() == 0

@@ -36,6 +36,25 @@ def parse_time(text: str) -> int | None:
     return calendar.timegm((y, mo, 1, 0, 0, 0)) + (d - 1) * 86_400 + h * 3600 + mi * 60 + s
 
 
+def text_epoch(text: Column) -> Column:
+    """parse_time of a column."""
+
+    def part(k: int) -> Column:
+        got = F.regexp_extract(text, r"^\s*([+-]?\d+)-(\d+)-(\d+)(?:\s+(\d+)(?::(\d+)(?::(\d+))?)?)?", k)
+        return F.coalesce(F.when(got == "", None).otherwise(got).try_cast("long"), F.lit(0))
+
+    year, month, day, hour, minute, second = (part(k) for k in range(1, 7))
+    fine = year.between(1970, 2100) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 59)
+    first = F.when(fine, F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
+    return (F.datediff(first, F.lit("1970-01-01").cast("date")).cast("long") + day - 1) * 86_400 + hour * 3600 + minute * 60 + second
+
+
+def literal_epoch(text: Column, default: int) -> Column:
+    """time_literal of a column."""
+    bare = F.btrim(text)
+    return F.when(bare == "", F.lit(default).cast("long")).when(bare.rlike(r"^-?\d+$"), bare.try_cast("long")).otherwise(text_epoch(bare))
+
+
 def time_literal(text: str, default: int) -> int | None:
     """Empty text: the default; digits with an optional minus: epoch seconds; else parse_time."""
     text = text.strip()

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.operators.ordering import with_position
-from tracewarden.operators.patterns import first_seen
+from tracewarden.operators.patterns import CODED, entries
 from tracewarden.schema import EARLIEST, LATEST
 
-CODED = ("user_id", "device_id", "app_id", "resource_id")
-
 
 def in_range(events: DataFrame, start: int = EARLIEST, end: int = LATEST) -> DataFrame:
     """Events whose time lies in the range, both ends included; swapped ends are put in order."""
@@ -42,21 +40,25 @@ def page(rows: DataFrame, number: int, size: int = 50) -> DataFrame:
     return rows.offset(number * size).limit(size)
 
 
-def top_resources(events: DataFrame, start: int = EARLIEST, end: int = LATEST, n: int = 10) -> DataFrame:
-    """The n resources with most events in the range; ties: the one seen first in the file."""
-    counts = in_range(events, start, end).groupBy("resource_id").agg(F.count("*").alias("accesses"))
-    ranked = counts.join(first_seen(events, "resource_id", "first_seq"), "resource_id")
-    top = ranked.orderBy(F.desc("accesses"), "first_seq").limit(n)
-    # n rows: their ranks need no partitions
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accesses"), "first_seq")).cast("long")).select("rank", "resource_id", "accesses")
-
+def top_resources(events: DataFrame, start: int = EARLIEST, end: int = LATEST, n: int = 10, buckets: int | None = None) -> DataFrame:
+    """The n resources with most events in the range; ties: the one with the lower place in the dictionary.
 
-def top_resources_one_pass(events: DataFrame, start: int = EARLIEST, end: int = LATEST, n: int = 10) -> DataFrame:
-    """top_resources by one aggregation: counts in the range and first places over all rows together."""
+    One aggregation counts in the range and finds places over all rows and coded columns.
+    With `buckets`, ties go to the lower id modulo that number, then to the resource whose
+    first event in the range is later: the order of a hash table of so many chains, which
+    differs from the other once the dictionary holds more values than that.
+    """
     inside = F.col("timestamp").between(min(start, end), max(start, end))
-    both = events.groupBy("resource_id").agg(F.count_if(inside).alias("accesses"), F.min("seq").alias("first_seq")).filter("accesses > 0")
-    top = both.orderBy(F.desc("accesses"), "first_seq").limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accesses"), "first_seq")).cast("long")).select("rank", "resource_id", "accesses")
+    each = [F.struct(F.col(c).alias("value"), (F.col("seq") * 4 + k).alias("at"), F.when(inside, F.col("seq") if c == "resource_id" else F.lit(None).cast("long")).alias("hit")) for k, c in enumerate(CODED)]
+    seen = events.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    seen = seen.groupBy("value").agg(F.count("hit").alias("accesses"), F.min("at").alias("at"), F.min("hit").alias("hit"))
+    order = [F.desc("accesses"), F.col("at")]
+    if buckets:
+        seen = with_position(seen, "at", name="id")
+        order = [F.desc("accesses"), F.col("id") % buckets, F.desc("hit")]
+    top = seen.filter("accesses > 0").orderBy(*order).limit(n)
+    # n rows: their ranks need no partitions
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("rank", F.col("value").alias("resource_id"), "accesses")
 
 
 def default_keys(events: DataFrame) -> DataFrame:
@@ -66,8 +68,7 @@ def default_keys(events: DataFrame) -> DataFrame:
 
 def dictionary(events: DataFrame) -> DataFrame:
     """(value, id): one dictionary for the four coded columns, ids dense in the order of first appearance."""
-    coded = events.select(F.explode(F.array(*[F.struct(F.col(c).alias("value"), (F.col("seq") * 4 + k).alias("at")) for k, c in enumerate(CODED)])).alias("c")).select("c.*")
-    return with_position(coded.groupBy("value").agg(F.min("at").alias("at")), "at", name="id").select("value", "id")
+    return with_position(entries(events).groupBy("value").agg(F.min("at").alias("at")), "at", name="id").select("value", "id")
 
 
 def decode(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:

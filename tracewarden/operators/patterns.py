@@ -1,63 +1,56 @@
-"""Building blocks of the rules: tails of K events, rows that re-arm, first rows of a key."""
+"""Building blocks of rules and rankings: hits that re-arm, places in the dictionary."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The coded columns in the order in which a row's values enter the dictionary.
+CODED = ("user_id", "device_id", "app_id", "resource_id")
 
-def tail(df: DataFrame, key: str, order: list[str], k: int, seconds: int, distinct: str | None = None, least: int | None = None) -> DataFrame:
-    """df with `_i` (the row's number in its key) and `_hit`: its last k rows lie within `seconds` and, if asked, hold `least` (default k) different values of `distinct`.
 
-    A negative span counts as within: in an order that isn't time's, time may step back.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    within = (F.col("timestamp") - F.lag("timestamp", k - 1).over(w)) <= seconds
-    out = df.withColumn("_i", F.row_number().over(w).cast("long"))
-    if distinct:
-        values = F.size(F.collect_set(distinct).over(w.rowsBetween(1 - k, 0)))
-        return out.withColumn("_hit", F.coalesce(within & (values >= (least or k)), F.lit(False)))
-    return out.withColumn("_hit", F.coalesce(within, F.lit(False)))
-
-
-def greedy_gap(tailed: DataFrame, key: str, k: int) -> DataFrame:
-    """Of the hits of each key, in order: the first, then always the first at least k rows later.
+def greedy_gap(hits: DataFrame, keys: list[str], gap: str) -> DataFrame:
+    """Of the hits (`_i`) of each key, in order: the first, then always the first at least `gap` rows later.
 
-    Consecutive hits form runs, inside which every k-th is taken, so only runs matter. Runs
-    less than k apart form islands, each folded alone: the first hit of an island is taken
-    whatever came before. What is gathered is an island's runs, not its rows.
+    Consecutive hits form runs, inside which every gap-th is taken, so only runs matter. Runs
+    less than a gap apart form islands, each folded alone: the first hit of an island is taken
+    whatever came before. What is gathered is an island's runs, not its rows. The gap is the
+    same in all rows of a key.
     """
-    hits = tailed.filter("_hit")
-    w = Window.partitionBy(key).orderBy("_i")
+    w = Window.partitionBy(*keys).orderBy("_i")
     hits = hits.withColumn("_run", F.col("_i") - F.row_number().over(w))
-    runs = hits.groupBy(key, "_run").agg(F.min("_i").alias("s"), F.max("_i").alias("e"))
-    r = Window.partitionBy(key).orderBy("s")
-    fresh = (F.col("s") - F.lag("e").over(r)) >= k
+    runs = hits.groupBy(*keys, "_run").agg(F.min("_i").alias("s"), F.max("_i").alias("e"), F.min(gap).alias("k"))
+    r = Window.partitionBy(*keys).orderBy("s")
+    fresh = (F.col("s") - F.lag("e").over(r)) >= F.col("k")
     runs = runs.withColumn("_island", F.sum(F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).over(r))
-    islands = runs.groupBy(key, "_island").agg(F.array_sort(F.collect_list(F.struct("s", "e", "_run"))).alias("runs"))
+    islands = runs.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct("s", "e", "_run", "k"))).alias("runs"))
 
     def fold(acc: Column, run: Column) -> Column:
         at = F.greatest(run["s"], acc["next"])
         some = at <= run["e"]
-        after = at + (F.floor((run["e"] - at) / k).cast("long") + 1) * k
+        after = at + (F.floor((run["e"] - at) / run["k"]).cast("long") + 1) * run["k"]
         return F.struct(
             F.when(some, after).otherwise(acc["next"]).alias("next"),
             F.when(some, F.concat(acc["out"], F.array(F.struct(run["_run"].alias("_run"), at.alias("_at"))))).otherwise(acc["out"]).alias("out"),
         )
 
     start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<_run:bigint,_at:bigint>>").alias("out"))
-    taken = islands.select(key, F.explode(F.aggregate("runs", start, fold, lambda acc: acc["out"])).alias("t")).select(key, "t._run", "t._at")
-    out = hits.join(taken, [key, "_run"])
-    return out.filter((F.col("_i") >= F.col("_at")) & ((F.col("_i") - F.col("_at")) % k == 0)).drop("_run", "_at")
+    taken = islands.select(*keys, F.explode(F.aggregate("runs", start, fold, lambda acc: acc["out"])).alias("t")).select(*keys, "t._run", "t._at")
+    out = hits.join(taken, [*keys, "_run"])
+    return out.filter((F.col("_i") >= F.col("_at")) & ((F.col("_i") - F.col("_at")) % F.col(gap) == 0)).drop("_run", "_at")
 
 
-def first_hit(tailed: DataFrame, key: str) -> DataFrame:
-    """The first hit of each key: an aggregate that combines before its shuffle."""
-    hits = tailed.filter("_hit")
-    row = F.struct(*[c for c in tailed.columns])
-    return hits.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, "_i").alias("_row")).select("_row.*")
+def entries(events: DataFrame) -> DataFrame:
+    """(value, at, k): every value of the coded columns with its place in the log and its column."""
+    each = [F.struct(F.col(c).alias("value"), (F.col("seq") * 4 + k).alias("at"), F.lit(k).alias("k")) for k, c in enumerate(CODED)]
+    return events.select(F.explode(F.array(*each)).alias("e")).select("e.*")
 
 
-def first_seen(events: DataFrame, column: str, name: str) -> DataFrame:
-    """(column, name): when each value first appeared; orders values as a dictionary filled in file order would."""
-    return events.groupBy(column).agg(F.min("seq").alias(name))
+def dictionary_places(events: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): where each of the column's values first appeared, in any coded column.
+
+    One dictionary serves all four columns, so a resource named like an earlier user has the
+    place of that user. Orders values as the dictionary filled in file order numbers them.
+    """
+    own = F.max(F.when(F.col("k") == CODED.index(column), True)).alias("own")
+    return entries(events).groupBy("value").agg(F.min("at").alias(name), own).filter("own").select(F.col("value").alias(column), name)

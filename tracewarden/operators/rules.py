@@ -1,177 +1,226 @@
-"""The fourteen rules as window pipelines over an access log.
+"""The fourteen rules over an access log, in one pass of windows a key.
 
-Every rule takes events and thresholds and returns the alerts' events with `rule_ord` (the
-order of alerts of one event) and `fire_no`. Users' rows are ordered by (timestamp, seq).
-Rules of a device keep their state in the order users come in, users by first appearance,
-unless device_order is "time".
+All rules of users read one sorted sequence of a user's events: one exchange, one sort, and
+windows of a single partitioning and order, whatever the number of rules. Those of devices
+do the same by device. Rows of a rule's own kind among the others (the last three logins,
+say) come from offsets that skip nulls, so no rule needs a sequence of its own.
+
+The windows mark hits. Hits of rules that fire at every hit, or once, are alerts as they are;
+rules that re-arm after an alert thin theirs out (`greedy_gap`). Hits are stored before, so
+the windows run once.
+
+Users' rows are ordered by (timestamp, seq). Rules of a device keep their state in the order
+users come in, users by their place in the dictionary, unless device_order is "time".
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions.timeparse import local_hour
-from tracewarden.operators.patterns import first_hit, first_seen, greedy_gap, tail
+from tracewarden.operators.patterns import dictionary_places, greedy_gap
 from tracewarden.schema import DEFAULTS, HOME, SEVERITY, Thresholds
+from tracewarden.sources.scratch import durable
 
-TIME = ["timestamp", "seq"]
-
-
-def by_user() -> WindowSpec:
-    return Window.partitionBy("user_id").orderBy(*TIME)
-
-
-def so_far() -> WindowSpec:
-    return by_user().rowsBetween(Window.unboundedPreceding, 0)
+RULES = tuple(SEVERITY)
+ON_DEVICES = ("RESOURCE_SCAN", "COMPROMISED_DEVICE")
+ALERT = ("seq", "timestamp", "user_id", "device_id", "anomaly_type", "severity", "rule_ord", "fire_no")
 
 
-def before_it() -> WindowSpec:
-    return by_user().rowsBetween(Window.unboundedPreceding, -1)
+@dataclass(frozen=True)
+class Sequence:
+    """Window functions over one key's rows in one order."""
 
+    key: str
+    order: tuple[str, ...]
 
-def is_event(*kinds: str) -> Column:
-    return F.col("event_type").isin(*kinds)
+    def over(self, call: str, frame: str = "") -> Column:
+        return F.expr(f"{call} OVER (PARTITION BY {self.key} ORDER BY {', '.join(self.order)} {frame})")
 
+    def so_far(self, call: str) -> Column:
+        return self.over(call, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
 
-def alerts(rows: DataFrame, rule: str, order: int | Column, fire: int | Column = 1) -> DataFrame:
-    order = F.lit(order) if isinstance(order, int) else order
-    fire = F.lit(fire) if isinstance(fire, int) else fire
-    return rows.select("seq", "timestamp", "user_id", "device_id", F.lit(rule).alias("anomaly_type"), F.lit(SEVERITY[rule]).alias("severity"), order.cast("int").alias("rule_ord"), fire.cast("int").alias("fire_no"))
+    def before(self, call: str) -> Column:
+        return self.over(call, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
 
+    def back(self, value: str, where: str, k: int) -> Column:
+        """The value k rows back among the rows where a condition holds, as seen from one of them."""
+        return self.over(f"lag(IF({where}, {value}, NULL), {k}) IGNORE NULLS") if k else F.expr(value)
 
-def device_rows(events: DataFrame, device_order: str) -> tuple[DataFrame, list[str]]:
-    """Events and the order in which a device's state sees them."""
-    if device_order == "time":
-        return events, TIME
-    if device_order != "reference":
-        raise ValueError(f"device_order is 'reference' or 'time', not {device_order!r}")
-    return events.join(first_seen(events, "user_id", "_user_rank"), "user_id"), ["_user_rank", *TIME]
+    def within(self, where: str, k: int, seconds: int) -> Column:
+        """The last k rows where a condition holds, this one included, lie within `seconds`. In an order that isn't time's a negative span counts as within."""
+        return F.coalesce(F.expr(where) & (F.col("timestamp") - self.back("timestamp", where, k - 1) <= seconds), F.lit(False))
 
+    def values(self, value: str, where: str, k: int) -> Column:
+        """Different values among the last k rows where a condition holds."""
+        return F.size(F.array_distinct(F.array_compact(F.array(*[self.back(value, where, j) for j in range(k)]))))
 
-def brute_force(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    k, seconds = t.brute_force
-    return alerts(greedy_gap(tail(events.filter(is_event("FAILED_LOGIN")), "user_id", TIME, k, seconds), "user_id", k), "BRUTE_FORCE", 1)
 
+USER = Sequence("user_id", ("timestamp", "seq"))
 
-def device_hopping(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    k, seconds = t.device_hopping
-    return alerts(greedy_gap(tail(events.filter(is_event("LOGIN")), "user_id", TIME, k, seconds, "device_id"), "user_id", k), "DEVICE_HOPPING", 2)
 
+@dataclass(frozen=True)
+class Hits:
+    """Marks of a rule: where it hits, its place among an event's alerts, which alert of the event, rows to re-arm (0: none) and the row's number for that."""
 
-def resource_scan(events: DataFrame, t: Thresholds = DEFAULTS, device_order: str = "reference") -> DataFrame:
-    k, seconds = t.resource_scan
-    rows, order = device_rows(events, device_order)
-    return alerts(greedy_gap(tail(rows, "device_id", order, k, seconds, "resource_id"), "device_id", k), "RESOURCE_SCAN", 3)
+    rule: str
+    hit: Column
+    order: Column
+    fire: Column
+    gap: int = 0
+    at: Column | None = None
 
 
-def out_of_hours(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+def user_marks(rows: DataFrame, t: Thresholds, only: frozenset[str]) -> tuple[DataFrame, list[Hits]]:
+    """rows with the columns that the rules asked for need, and their marks. Steps follow each other only where windows read windows."""
     hour = local_hour(F.col("timestamp"), t.utc_offset)
-    rows = events.filter((hour < t.work_hours[0]) | (hour >= t.work_hours[1]))
-    first = rows.groupBy("user_id").agg(F.min_by(F.struct("seq", "timestamp", "device_id"), F.struct(*TIME)).alias("r"))
-    return alerts(first.select("user_id", "r.*"), "OUT_OF_HOURS", 4)
-
-
-def impossible_travel(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    rows = events.withColumn("_place", F.lag("location").over(by_user())).withColumn("_ts", F.lag("timestamp").over(by_user()))
-    moved = (F.col("_place") != HOME) & (F.col("location") != HOME) & (F.col("_place") != F.col("location"))
-    return alerts(rows.filter(moved & (F.col("timestamp") - F.col("_ts") < t.travel_seconds)), "IMPOSSIBLE_TRAVEL", 5)
-
-
-def multi_country_hopping(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    k, seconds = t.country_changes
-    before = F.lag("location").over(by_user())
-    moved = events.withColumn("_moved", (F.col("location") != HOME) & (before.isNull() | (before != F.col("location")))).filter("_moved")
-    return alerts(greedy_gap(tail(moved, "user_id", TIME, k, seconds, "location", t.countries), "user_id", k), "MULTI_COUNTRY_HOPPING", 6)
-
-
-def sessions(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """events with `_open` (a session is open before the event), `_over` (its start lies too far back; 0 if none) and `_segment` (logins so far)."""
-    n = F.row_number().over(by_user())
-    rows = events.withColumn("_n", n).withColumn("_ts", F.lag("timestamp").over(by_user()))
-    rows = rows.withColumn("_login", F.max(F.when(is_event("LOGIN"), F.col("_n"))).over(before_it()))
-    rows = rows.withColumn("_logout", F.max(F.when(is_event("LOGOUT"), F.col("_n"))).over(before_it()))
-    # rows are in time order, so the latest login's time is the greatest
-    rows = rows.withColumn("_start", F.coalesce(F.max(F.when(is_event("LOGIN"), F.col("timestamp"))).over(before_it()), F.lit(0)))
-    rows = rows.withColumn("_segment", F.count_if(is_event("LOGIN")).over(so_far()))
-    is_open = F.col("_login").isNotNull() & (F.col("_login") > F.coalesce("_logout", F.lit(0))) & (F.col("_ts") - F.col("_start") <= t.session_seconds)
-    return rows.withColumn("_open", F.coalesce(is_open, F.lit(False))).withColumn("_over", F.col("timestamp") - F.col("_start") > t.session_seconds)
-
-
-def long_session(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """A session found open too long; once more at a logout, open session or not."""
-    rows = sessions(events, t).filter(F.col("_over") & (F.col("_open") | is_event("LOGOUT")))
-    none = F.lit(None).cast("int")
-    fires = F.array_compact(F.array(F.when(F.col("_open"), F.when(is_event("LOGIN"), 0).otherwise(7)).otherwise(none), F.when(is_event("LOGOUT"), 10).otherwise(none)))
-    rows = rows.select("*", F.posexplode(fires).alias("_k", "_order"))
-    return alerts(rows, "LONG_SESSION", F.col("_order"), F.col("_k") + 1)
-
-
-def danger_chain(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    rows = sessions(events, t).filter(F.col("_open") & is_event("ADMIN_ACTION", "DOWNLOAD"))
-    nth = F.row_number().over(Window.partitionBy("user_id", "_segment").orderBy(*TIME))
-    return alerts(rows.withColumn("_nth", nth).filter(F.col("_nth") % t.danger_actions == 0), "DANGER_CHAIN", 8)
-
-
-def rapid_session(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    k, seconds = t.rapid_session
-    return alerts(greedy_gap(tail(events.filter(is_event("LOGIN")), "user_id", TIME, k, seconds), "user_id", k), "RAPID_SESSION", 9)
-
-
-def brute_force_success(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    rows = events.withColumn("_n", F.row_number().over(by_user()))
-    rows = rows.withColumn("_other", F.coalesce(F.max(F.when(~is_event("FAILED_LOGIN"), F.col("_n"))).over(before_it()), F.lit(0)))
-    return alerts(rows.filter(is_event("LOGIN") & (F.col("_n") - 1 - F.col("_other") >= t.failures_before_login)), "BRUTE_FORCE_SUCCESS", 11)
-
-
-def dormant_account(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    k, seconds = t.dormant_burst
-    rows = events.withColumn("_woke", F.coalesce(F.col("timestamp") - F.lag("timestamp").over(by_user()) > t.dormant_seconds, F.lit(False)))
-    rows = rows.withColumn("_wake", F.count_if("_woke").over(so_far())).filter("_wake > 0")
-    w = Window.partitionBy("user_id", "_wake").orderBy(*TIME)
-    rows = rows.withColumn("_nth", F.row_number().over(w)).withColumn("_from", F.first("timestamp").over(w))
-    return alerts(rows.filter((F.col("_nth") == k) & (F.col("timestamp") - F.col("_from") <= seconds)), "DORMANT_ACCOUNT", 12)
-
-
-def data_exfiltration(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    k, seconds = t.exfiltration
-    rows = events.filter(is_event("DOWNLOAD") & (local_hour(F.col("timestamp"), t.utc_offset) < t.exfiltration_hour))
-    return alerts(first_hit(tail(rows, "user_id", TIME, k, seconds, "resource_id"), "user_id"), "DATA_EXFILTRATION", 13)
-
-
-def compromised_device(events: DataFrame, t: Thresholds = DEFAULTS, device_order: str = "reference") -> DataFrame:
-    k, seconds = t.compromised_device
-    rows, order = device_rows(events, device_order)
-    return alerts(first_hit(tail(rows.filter(is_event("LOGIN")), "device_id", order, k, seconds, "user_id"), "device_id"), "COMPROMISED_DEVICE", 14)
-
-
-def lateral_movement(events: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    k, seconds = t.lateral_movement
-    return alerts(first_hit(tail(events, "user_id", TIME, k, seconds, "app_id"), "user_id"), "LATERAL_MOVEMENT", 15)
-
-
-RULES = {
-    "BRUTE_FORCE": brute_force,
-    "DEVICE_HOPPING": device_hopping,
-    "RESOURCE_SCAN": resource_scan,
-    "OUT_OF_HOURS": out_of_hours,
-    "IMPOSSIBLE_TRAVEL": impossible_travel,
-    "MULTI_COUNTRY_HOPPING": multi_country_hopping,
-    "LONG_SESSION": long_session,
-    "DANGER_CHAIN": danger_chain,
-    "RAPID_SESSION": rapid_session,
-    "BRUTE_FORCE_SUCCESS": brute_force_success,
-    "DORMANT_ACCOUNT": dormant_account,
-    "DATA_EXFILTRATION": data_exfiltration,
-    "COMPROMISED_DEVICE": compromised_device,
-    "LATERAL_MOVEMENT": lateral_movement,
-}
-ON_DEVICES = ("RESOURCE_SCAN", "COMPROMISED_DEVICE")
-
-
-def detect(events: DataFrame, t: Thresholds = DEFAULTS, device_order: str = "reference", only: tuple[str, ...] = tuple(RULES)) -> DataFrame:
+    night = "event_type = 'DOWNLOAD' AND _early"
+    failed, login = "event_type = 'FAILED_LOGIN'", "event_type = 'LOGIN'"
+    rows = rows.withColumns({"_early": F.coalesce(hour < t.exfiltration_hour, F.lit(False)), "_outside": F.coalesce((hour < t.work_hours[0]) | (hour >= t.work_hours[1]), F.lit(False))})
+    first: dict[str, Column] = {"_n": USER.over("row_number()"), "_place": USER.over("lag(location)"), "_ts": USER.over("lag(timestamp)")}
+    second: dict[str, Column] = {}
+    third: dict[str, Column] = {}
+    marks: list[Hits] = []
+
+    def mark(rule: str, hit: Column, order: int | Column, fire: int | Column = 1, gap: int = 0, at: str | None = None) -> None:
+        order, fire = (F.lit(x) if isinstance(x, int) else x for x in (order, fire))
+        marks.append(Hits(rule, hit, order, fire, gap, F.col(at) if at else None))
+
+    if "BRUTE_FORCE" in only:
+        k, seconds = t.brute_force
+        first |= {"_fails": USER.so_far(f"count_if({failed})"), "_forced": USER.within(failed, k, seconds)}
+        mark("BRUTE_FORCE", F.col("_forced"), 1, 1, k, "_fails")
+    if only & {"DEVICE_HOPPING", "RAPID_SESSION"}:
+        first["_logins"] = USER.so_far(f"count_if({login})")
+    if "DEVICE_HOPPING" in only:
+        k, seconds = t.device_hopping
+        first["_hopped"] = USER.within(login, k, seconds) & (USER.values("device_id", login, k) >= k)
+        mark("DEVICE_HOPPING", F.col("_hopped"), 2, 1, k, "_logins")
+    if "OUT_OF_HOURS" in only:
+        first["_out"] = USER.so_far("count_if(_outside)")
+        mark("OUT_OF_HOURS", F.col("_outside") & (F.col("_out") == 1), 4)
+    if "IMPOSSIBLE_TRAVEL" in only:
+        moved = (F.col("_place") != HOME) & (F.col("location") != HOME) & (F.col("_place") != F.col("location"))
+        mark("IMPOSSIBLE_TRAVEL", moved & (F.col("timestamp") - F.col("_ts") < t.travel_seconds), 5)
+    if "MULTI_COUNTRY_HOPPING" in only:
+        k, seconds = t.country_changes
+        moved = f"location <> '{HOME}' AND (_place IS NULL OR _place <> location)"
+        second |= {"_moves": USER.so_far(f"count_if({moved})"), "_toured": USER.within(moved, k, seconds) & (USER.values("location", moved, k) >= t.countries)}
+        mark("MULTI_COUNTRY_HOPPING", F.col("_toured"), 6, 1, k, "_moves")
+    if only & {"LONG_SESSION", "DANGER_CHAIN"}:
+        # the latest edge before the row says whether a session is open; rows are in time order, so the latest login's time is the greatest
+        first["_edge"] = USER.before("last(IF(event_type IN ('LOGIN', 'LOGOUT'), event_type, NULL), true)")
+        first["_start"] = F.coalesce(USER.before(f"max(IF({login}, timestamp, NULL))"), F.lit(0))
+        is_open = F.coalesce((F.col("_edge") == "LOGIN") & (F.col("_ts") - F.col("_start") <= t.session_seconds), F.lit(False))
+        second["_open"] = is_open
+    if "LONG_SESSION" in only:
+        # found open too long; once more at a logout, open session or not
+        over = F.col("timestamp") - F.col("_start") > t.session_seconds
+        mark("LONG_SESSION", over & F.col("_open"), F.when(F.expr(login), 0).otherwise(7))
+        mark("LONG_SESSION", over & (F.col("event_type") == "LOGOUT"), 10, F.when(F.col("_open"), 2).otherwise(1))
+    if "DANGER_CHAIN" in only:
+        bad = is_open & F.col("event_type").isin("ADMIN_ACTION", "DOWNLOAD")
+        second["_bad"] = bad
+        third |= {"_dangers": USER.so_far("count_if(_bad)"), "_fresh": USER.so_far(f"count_if({login})")}
+    if "RAPID_SESSION" in only:
+        k, seconds = t.rapid_session
+        first["_rapid"] = USER.within(login, k, seconds)
+        mark("RAPID_SESSION", F.col("_rapid"), 9, 1, k, "_logins")
+    if "BRUTE_FORCE_SUCCESS" in only:
+        second["_other"] = F.coalesce(USER.before(f"max(IF({failed}, NULL, _n))"), F.lit(0))
+        mark("BRUTE_FORCE_SUCCESS", F.expr(login) & (F.col("_n") - 1 - F.col("_other") >= t.failures_before_login), 11)
+    if "DORMANT_ACCOUNT" in only:
+        k, seconds = t.dormant_burst
+        woke = f"timestamp - _ts > {t.dormant_seconds}"
+        second |= {"_woken": USER.so_far(f"max(IF({woke}, _n, NULL))"), "_since": USER.so_far(f"max(IF({woke}, timestamp, NULL))")}
+        mark("DORMANT_ACCOUNT", (F.col("_n") - F.col("_woken") + 1 == k) & (F.col("timestamp") - F.col("_since") <= seconds), 12)
+    if "DATA_EXFILTRATION" in only:
+        k, seconds = t.exfiltration
+        first["_drained"] = USER.within(night, k, seconds) & (USER.values("resource_id", night, k) >= k)
+        second["_drains"] = USER.so_far("count_if(_drained)")
+        mark("DATA_EXFILTRATION", F.col("_drained") & (F.col("_drains") == 1), 13)
+    if "LATERAL_MOVEMENT" in only:
+        k, seconds = t.lateral_movement
+        first["_spread"] = USER.within("true", k, seconds) & (USER.values("app_id", "true", k) >= k)
+        second["_spreads"] = USER.so_far("count_if(_spread)")
+        mark("LATERAL_MOVEMENT", F.col("_spread") & (F.col("_spreads") == 1), 15)
+    rows = rows.withColumns(first)
+    if second:
+        rows = rows.withColumns(second)
+    if third:
+        rows = rows.withColumns(third)
+        # dangers before the latest login, itself included: it is none
+        rows = rows.withColumn("_before", F.coalesce(USER.so_far(f"max(IF({login}, _dangers, NULL))"), F.lit(0)))
+        mark("DANGER_CHAIN", F.col("_bad") & ((F.col("_dangers") - F.col("_before")) % t.danger_actions == 0), 8)
+    return rows, marks
+
+
+def device_marks(rows: DataFrame, t: Thresholds, only: frozenset[str], order: tuple[str, ...]) -> tuple[DataFrame, list[Hits]]:
+    """rows with the columns that the rules of devices need, and their marks."""
+    device, login = Sequence("device_id", order), "event_type = 'LOGIN'"
+    marks: list[Hits] = []
+    if "RESOURCE_SCAN" in only:
+        k, seconds = t.resource_scan
+        rows = rows.withColumns({"_n": device.over("row_number()"), "_scanned": device.within("true", k, seconds) & (device.values("resource_id", "true", k) >= k)})
+        marks.append(Hits("RESOURCE_SCAN", F.col("_scanned"), F.lit(3), F.lit(1), k, F.col("_n")))
+    if "COMPROMISED_DEVICE" in only:
+        k, seconds = t.compromised_device
+        rows = rows.withColumn("_shared", device.within(login, k, seconds) & (device.values("user_id", login, k) >= k))
+        rows = rows.withColumn("_shares", device.so_far("count_if(_shared)"))
+        marks.append(Hits("COMPROMISED_DEVICE", F.col("_shared") & (F.col("_shares") == 1), F.lit(14), F.lit(1)))
+    return rows, marks
+
+
+def hits_of(rows: DataFrame, marks: list[Hits], key: str) -> DataFrame:
+    """One row a hit: an alert's columns, `_key`, `_gap` and `_i`."""
+    none = F.lit(None).cast("long")
+    found = [
+        F.when(
+            m.hit,
+            F.struct(
+                F.lit(m.rule).alias("anomaly_type"),
+                F.lit(SEVERITY[m.rule]).alias("severity"),
+                m.order.cast("int").alias("rule_ord"),
+                m.fire.cast("int").alias("fire_no"),
+                F.lit(m.gap).cast("int").alias("_gap"),
+                (none if m.at is None else m.at.cast("long")).alias("_i"),
+            ),
+        )
+        for m in marks
+    ]
+    some = reduce(Column.__or__, [F.coalesce(m.hit, F.lit(False)) for m in marks])
+    rows = rows.filter(some).select("seq", "timestamp", "user_id", "device_id", F.col(key).alias("_key"), F.explode(F.array_compact(F.array(*found))).alias("h"))
+    return rows.select("seq", "timestamp", "user_id", "device_id", "_key", "h.*")
+
+
+def detect(events: DataFrame, t: Thresholds = DEFAULTS, device_order: str = "reference", only: tuple[str, ...] = RULES) -> DataFrame:
     """All alerts of the rules named, one row each; an event may give LONG_SESSION twice."""
-    found = [RULES[r](events, t, device_order) if r in ON_DEVICES else RULES[r](events, t) for r in only]
-    return reduce(DataFrame.unionByName, found)
+    if device_order not in ("reference", "time"):
+        raise ValueError(f"device_order is 'reference' or 'time', not {device_order!r}")
+    if unknown := set(only) - set(RULES):
+        raise ValueError(f"no such rules: {sorted(unknown)}")
+    asked, found = frozenset(only), []
+    if mine := asked - set(ON_DEVICES):
+        found.append(hits_of(*user_marks(events, t, mine), "user_id"))
+    if mine := asked & set(ON_DEVICES):
+        rows, order = events, ("timestamp", "seq")
+        if device_order == "reference":
+            rows, order = events.join(dictionary_places(events, "user_id", "_user_rank"), "user_id"), ("_user_rank", *order)
+        found.append(hits_of(*device_marks(rows, t, mine, order), "device_id"))
+    hits = durable(reduce(DataFrame.unionByName, found), "hits")
+    at_once = hits.filter("_gap = 0")
+    thinned = greedy_gap(hits.filter("_gap > 0"), ["anomaly_type", "_key"], "_gap")
+    return at_once.select(*ALERT).unionByName(thinned.select(*ALERT))
+
+
+def rule(name: str):
+    """The function that runs one rule."""
+
+    def run(events: DataFrame, t: Thresholds = DEFAULTS, device_order: str = "reference") -> DataFrame:
+        return detect(events, t, device_order, (name,))
+
+    return run

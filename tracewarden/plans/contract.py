@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.timeparse import epoch_text, local_hour
 from tracewarden.operators import journeys
-from tracewarden.operators.rules import ON_DEVICES, RULES, detect
-from tracewarden.plans import report
+from tracewarden.operators.rules import ON_DEVICES, RULES, detect, rule
+from tracewarden.plans import ingest_contract, report
 from tracewarden.schema import SEVERITY
 from tracewarden.sources.events_table import DERIVED, derived_log
 from tracewarden.sources.scratch import durable
@@ -32,8 +32,7 @@ def all_alerts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _rule(name: str, device_order: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = derived_log(spark, sf_dir)
-        return wide(RULES[name](events, device_order=device_order) if device_order else RULES[name](events))
+        return wide(rule(name)(derived_log(spark, sf_dir), device_order=device_order or "reference"))
 
     return run
 
@@ -42,12 +41,17 @@ def _ordered_journey(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, "seq", epoch_text(F.col("timestamp")).alias("time_utc"))
 
 
+def shared_names(events: DataFrame) -> DataFrame:
+    """The log with resources named like users."""
+    return events.withColumn("resource_id", F.concat(F.lit("U"), F.substring("resource_id", 2, 100)))
+
+
 def _emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewarden.operators.ordering import with_position
-    from tracewarden.operators.patterns import first_seen
+    from tracewarden.operators.patterns import dictionary_places
 
     found, events = all_alerts(spark, sf_dir)
-    ranked = found.join(first_seen(events, "user_id", "user_rank"), "user_id")
+    ranked = found.join(dictionary_places(events, "user_id", "user_rank"), "user_id")
     out = with_position(ranked, "user_rank", "timestamp", "seq", "rule_ord", "fire_no", name="place")
     return out.select("place", epoch_text(F.col("timestamp")).alias("timestamp"), "user_id", "device_id", "anomaly_type", "severity")
 
@@ -61,7 +65,8 @@ def _duplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "top10_resources": lambda s, d: journeys.top_resources(derived_log(s, d)),
     "top10_resources_range": lambda s, d: journeys.top_resources(derived_log(s, d), END, START),
-    "top10_resources_one_pass": lambda s, d: journeys.top_resources_one_pass(derived_log(s, d)),
+    "top10_shared_names": lambda s, d: journeys.top_resources(shared_names(derived_log(s, d)), START, END),
+    "top10_modulo_ties": lambda s, d: journeys.top_resources(derived_log(s, d), START, END, buckets=7),
     "user_journey": lambda s, d: _ordered_journey(journeys.user_journey(derived_log(s, d), USER, START, END), "timestamp", "event_type", "device_id", "app_id", "resource_id", "location"),
     "resource_history": lambda s, d: _ordered_journey(journeys.resource_history(derived_log(s, d), RESOURCE), "timestamp", "event_type", "user_id", "device_id", "app_id", "location"),
     "time_range_filter": lambda s, d: journeys.in_range(derived_log(s, d), START, END),
@@ -79,6 +84,7 @@ QUERIES = {
     "report_top5_users": lambda s, d: report.riskiest_users(*all_alerts(s, d)),
     "report_total": lambda s, d: all_alerts(s, d)[0].agg(F.count("*").alias("alerts")),
     "report_emission_order": _emission,
+    **ingest_contract.QUERIES,
 }
 
 EV = "ev AS (" + DERIVED.format(events="events") + ")"
@@ -144,14 +150,22 @@ FIRST = "SELECT user_id, min(seq) AS r FROM ev GROUP BY user_id"
 UTC = "strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M:%S')"
 
 
-def _top(where: str) -> str:
-    return f"WITH {EV}, n AS (SELECT resource_id, count(*) AS accesses FROM ev WHERE {where} GROUP BY resource_id), f AS (SELECT resource_id, min(seq) AS r FROM ev GROUP BY resource_id) SELECT row_number() OVER (ORDER BY accesses DESC, r) AS rank, n.resource_id, accesses FROM n JOIN f ON n.resource_id = f.resource_id QUALIFY rank <= 10"
+# the log with resources named like users, most of which appear as users first
+SHARED = "ev AS (SELECT * REPLACE (concat('U', substr(resource_id, 2)) AS resource_id) FROM (" + DERIVED.format(events="events") + "))"
+PLACES = """SELECT value, min(pos) AS r FROM (
+  SELECT user_id AS value, seq * 4 AS pos FROM ev UNION ALL SELECT device_id, seq * 4 + 1 FROM ev UNION ALL SELECT app_id, seq * 4 + 2 FROM ev UNION ALL SELECT resource_id, seq * 4 + 3 FROM ev
+) GROUP BY value"""
+
+
+def _top(where: str, log: str = EV, order: str = "r") -> str:
+    return f"WITH {log}, n AS (SELECT resource_id, count(*) AS accesses, min(seq) AS hit FROM ev WHERE {where} GROUP BY resource_id), f AS (SELECT *, row_number() OVER (ORDER BY r) - 1 AS id FROM ({PLACES})) SELECT row_number() OVER (ORDER BY accesses DESC, {order}) AS rank, n.resource_id, accesses FROM n JOIN f ON n.resource_id = f.value QUALIFY rank <= 10"
 
 
 ORACLES = {
     "top10_resources": _top("timestamp BETWEEN 0 AND 2000000000"),
     "top10_resources_range": _top(f"timestamp BETWEEN {START} AND {END}"),
-    "top10_resources_one_pass": _top("timestamp BETWEEN 0 AND 2000000000"),
+    "top10_shared_names": _top(f"timestamp BETWEEN {START} AND {END}", SHARED),
+    "top10_modulo_ties": _top(f"timestamp BETWEEN {START} AND {END}", order="id % 7, hit DESC"),
     "user_journey": f"WITH {EV} SELECT timestamp, event_type, device_id, app_id, resource_id, location, seq, {UTC} AS time_utc FROM ev WHERE user_id = '{USER}' AND timestamp BETWEEN {START} AND {END}",
     "resource_history": f"WITH {EV} SELECT timestamp, event_type, user_id, device_id, app_id, location, seq, {UTC} AS time_utc FROM ev WHERE resource_id = '{RESOURCE}' AND timestamp BETWEEN 0 AND 2000000000",
     "time_range_filter": f"WITH {EV} SELECT * FROM ev WHERE timestamp BETWEEN {START} AND {END}",
@@ -170,3 +184,7 @@ ORACLES = {
     "report_total": f"SELECT count(*) AS alerts FROM {ALL}",
     "report_emission_order": f"WITH {EV} SELECT row_number() OVER (ORDER BY f.r, a.timestamp, a.seq, rule_ord, fire_no) - 1 AS place, {UTC.replace('timestamp *', 'a.timestamp *')} AS timestamp, a.user_id, device_id, anomaly_type, severity FROM {ALL} a JOIN ({FIRST}) f ON a.user_id = f.user_id",
 }
+ORACLES |= ingest_contract.oracles(
+    "(" + " UNION ALL ".join(f"SELECT * FROM ({TIME_ORDER_SQL.get(name, sql)})" for name, sql in RULE_SQL.items()) + ")",
+    ORACLES["report_emission_order"], ORACLES["report_by_severity"], ORACLES["report_by_type"], ORACLES["report_top5_users"], ORACLES["report_total"],
+)

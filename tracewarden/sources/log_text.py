@@ -48,3 +48,9 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     bad = lines.filter("reason is not null").join(heads, "pos", "left_anti").select("line", "reason")
     again = first.filter("copies > 1").select("line", F.lit("duplicate").alias("reason"), F.explode(F.sequence(F.lit(2).cast("long"), "copies")).alias("k")).drop("k")
     return events, bad.unionByName(again)
+
+
+def ingest_counts(events: DataFrame, rejects: DataFrame) -> DataFrame:
+    """(outcome, lines): accepted lines, and those of each reason."""
+    accepted = events.agg(F.lit("accepted").alias("outcome"), F.count("*").alias("lines"))
+    return accepted.unionByName(rejects.groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("lines")))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet and read back; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where none is set, and only on a local master."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.tracewarden.tables", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracewarden-")
         spark.conf.set("spark.tracewarden.tables", root)
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def durable(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,8 @@ def snapshot_path(source: str) -> str:
 
 
 def report_path(source: str) -> str:
-    return _beside(source, "_anomaly_report")
+    """Where its alerts go: one CSV file beside it."""
+    return _beside(source, "_anomaly_report.csv")
 
 
 def _beside(source: str, ending: str) -> str:
@@ -52,7 +53,7 @@ def checksum(events: DataFrame) -> tuple[int, int]:
 
 
 def write_snapshot(events: DataFrame, path: str, source: str) -> None:
-    """Writes beside the place and renames, so that a failed write leaves the old snapshot."""
+    """Writes beside the place, then moves the old snapshot aside and the new one in, so that a failed write leaves the old one."""
     spark = events.sparkSession
     new = f"{path}.{uuid.uuid4().hex}"
     ranged = events.select(*EVENTS.names).repartitionByRange("timestamp", "seq").sortWithinPartitions("timestamp", "seq")
@@ -64,9 +65,16 @@ def write_snapshot(events: DataFrame, path: str, source: str) -> None:
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
     target, _ = _files(spark, path)
-    fs.delete(target, True)
+    old, _ = _files(spark, f"{new}.old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"can't move {path} aside")
     if not fs.rename(_files(spark, new)[0], target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"can't rename {new} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def manifest(spark: SparkSession, path: str) -> dict | None:
