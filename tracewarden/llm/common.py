@@ -27,23 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a materialised table that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if base.split("://")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    """Deletes the files of a table that materialise returned and that is no longer read."""
+    _delete(spark, df.scratch)
+
+
+def materialise_alone(make, tag: str) -> DataFrame:
+    """The table of make(), a frame, without the tables that were stored on the way to it."""
+    before = set(_made)
+    df = make()
+    out = materialise(df, tag)
+    for path in [p for p in _made if p not in before and p != out.scratch]:
+        _delete(df.sparkSession, path)
+    return out
 
 
 def column(name: str) -> Column:
