@@ -30,11 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
+def materialise(df: DataFrame, tag: str, pack: bool = True) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage. Hashes need no packing: it costs time and saves little."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd" if pack else "none")
+    (writer if pack else writer.option("parquet.enable.dictionary", "false")).parquet(path)
     _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path

@@ -25,41 +25,41 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm.common import column, discard, materialise, others
 
-SPACES = "[\\x20\\x09-\\x0D]+"
+SPACES, FILLED = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def split_words(bare: Column) -> Column:
-    """Words of a line without white space at its ends. Most lines need no pattern, which costs more than a plain separator."""
+def plain_line(line: Column) -> Column:
+    """The words of a line, with one space between two. Most lines need no pattern for that."""
+    bare = F.btrim(line, F.lit(BLANKS))
     odd = [F.contains(bare, F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")]
-    return F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.split(bare, SPACES)).otherwise(F.split(bare, " "))
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(bare, SPACES, " ")).otherwise(bare)
 
 
-def words_of(line: Column) -> Column:
-    """Words between ASCII white space; of a line without any, one empty word."""
-    return split_words(F.btrim(line, F.lit(BLANKS)))
+def line_hashes(plain: str) -> list[Column]:
+    """Two hashes of a plain line, which name it."""
+    return [F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(1), plain).alias("h2")]
 
 
-def line_hashes(marks: str) -> list[Column]:
-    """Two hashes of a line's word hashes, which name it."""
-    return [F.xxhash64(marks).alias("h1"), F.xxhash64(F.lit(1), marks).alias("h2")]
-
-
-def part_keys(words: str, n: str, least: int) -> Column:
-    """Hashes of thirds of a line: two lines with an equal variant have one in common.
+def part_keys(plain: str, n: str, least: int) -> Column:
+    """Hashes of thirds of a line of n words: two lines with an equal variant have one in common.
 
     Of lines with as many words: the first or the last third if a word left out lies in the
     middle or both lie in the same third, else the middle, one place further in one of them.
-    If one line is a word longer, its first or last third by the size of the shorter.
+    If one line is a word longer, its first or last third by the size of the shorter. Thirds
+    are cut out of the text: its words are never put apart.
     """
-    w, size = F.col(words), F.col(n)
+    line, size = F.col(plain), F.col(n)
+
+    def head(text: Column, words: Column) -> Column:
+        return F.call_function("substring_index", text, F.lit(" "), words.cast("int"))
 
     def ends(s: Column) -> list[Column]:
-        third = F.floor(s / 3).cast("int")
-        return [F.xxhash64(F.lit(0), s, F.slice(w, F.lit(1), third)), F.xxhash64(F.lit(1), s, F.slice(w, -third, third))]
+        third = F.floor(s / 3)
+        return [F.xxhash64(F.lit(0), s, head(line, third)), F.xxhash64(F.lit(1), s, head(line, -third))]
 
-    third = F.floor(size / 3).cast("int")
-    middle = [F.xxhash64(F.lit(2), size, F.slice(w, start, size - 2 * third)) for start in (third + 1, third)]
+    third = F.floor(size / 3)
+    middle = [F.xxhash64(F.lit(2), size, head(head(line, size - third - k), -(size - 2 * third))) for k in (0, 1)]
     own = [*ends(size), *middle]
     return F.when(size < least, F.array().cast("array<bigint>")).when(size == least, F.array(*own)).otherwise(F.array(*own, *ends(size - 1)))
 
@@ -108,9 +108,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, min_words
     # the earliest place of such a line tells where to read its words
     places = materialise(distinct.join(some, ["h1", "h2"]).select(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), "first"), "places")
     held = marked(docs.select("doc", "text"), "doc", places.select("doc")).filter("_in").drop("_in").dropDuplicates(["doc"])
-    found = held.join(places, "doc").select("first", words_of(F.element_at(F.split("text", "\n"), F.col("line_no") + 1)).alias("words"))
+    found = held.join(places, "doc").select("first", plain_line(F.element_at(F.split("text", "\n"), F.col("line_no") + 1)).alias("line"))
+    found = found.select("first", F.split("line", " ").alias("words"), *line_hashes("line"))
     found = found.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
-    found = found.select("first", "words", "marks", *line_hashes("marks"))
     whole = F.aggregate("marks", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h))
     found = materialise(found.withColumn("whole", whole), "candidates")
     # a variant's mark ignores the order of words, so that all variants of a line cost its length, not the square of it
@@ -144,11 +144,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     key = column(id_col)
     doc = F.struct(key.isNull().alias("absent"), key.alias("id"), F.xxhash64(column(text)).alias("text"))
     keyed = docs.select((F.struct(*map(column, rest)) if rest else F.lit(0)).alias("row"), column(text).alias("text"), doc.alias("doc"))
-    lines = keyed.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).filter("line != ''")
-    # from here on a word is its hash, which is hashed once
-    lines = lines.select("doc", "line_no", F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w)).alias("marks")).withColumn("n", F.size("marks"))
-    lines = lines.select("doc", "line_no", "n", *line_hashes("marks"), part_keys("marks", "n", min_words).alias("parts"))
-    lines = materialise(lines, "lines")
+    lines = keyed.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(FILLED)).select("doc", "line_no", plain_line(F.col("line")).alias("line"))
+    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    lines = lines.select("doc", "line_no", "n", *line_hashes("line"), part_keys("line", "n", min_words).alias("parts"))
+    lines = materialise(lines, "lines", pack=False)
     here = F.struct("doc", "line_no")
     distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")), "distinct")
     gone = near_lines(keyed, lines, distinct, min_words).withColumn("near", F.lit(True))
@@ -167,7 +166,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     all_lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.concat("exact", "near"))
     kept = F.when(F.size("exact") + F.size("near") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(all_lines, k + 1)), "\n"))
-    filled = F.size(F.filter(all_lines, lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
+    filled = F.size(F.filter(all_lines, lambda line: line.rlike(FILLED)))
     return out.select(
         *[(kept if c == text else F.col("row").getField(c)).alias(c) for c in own],
         F.when(F.col("text").isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),

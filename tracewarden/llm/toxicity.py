@@ -24,6 +24,7 @@ named like a result are replaced, all others kept.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -89,7 +90,8 @@ class BlockIndex:
         n = len(start) - 1
         heaviest = [int(term[a:b][np.argmax(weight[a:b])]) if b > a else -1 for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
         have = np.bincount(term, minlength=size)
-        order = sorted(range(n), key=lambda k: (-int(have[heaviest[k]]) if heaviest[k] >= 0 else 1, heaviest[k], term[start[k] : start[k + 1]].tobytes(), weight[start[k] : start[k + 1]].tobytes(), ids[k]))
+        digest = [xxhash.xxh3_128_digest(term[a:b].tobytes() + weight[a:b].tobytes()) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+        order = sorted(range(n), key=lambda k: (-int(have[heaviest[k]]) if heaviest[k] >= 0 else 1, heaviest[k], digest[k], ids[k]))
         self.block, self.n, self.blocks = block, n, -(-n // block)
         self.y, self.ids = np.array([y[k] for k in order], np.float64), [ids[k] for k in order]
         self.copies = np.array([copies[k] for k in order], np.float64)
@@ -263,9 +265,8 @@ def counted_terms(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id string, y int, terms array<long>, counts array<long>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Model:
-    """Learns from the rows of docs that have a row (with a label that isn't null) in labels; an id with several labels has the highest."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> bytes:
+    """A stored model, learned from the rows of docs that have a row (with a label that isn't null) in labels; an id with several labels has the highest."""
     marked = labels.select(column(id_col).alias("key"), (column(label).cast("int") != 0).cast("int").alias("y")).dropna().groupBy("key").agg(F.max("y").alias("y"))
     found = {r["y"]: r["c"] for r in marked.groupBy("y").agg(F.count("*").alias("c")).collect()}
     totals = found.get(0, 0), found.get(1, 0)
@@ -277,52 +278,47 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: str
     rows = docs.select(column(id_col).alias("key"), column(text).alias("text")).join(F.broadcast(marked), "key")
     # one row for each labelled id, however often its document is repeated
     one = counted_terms(rows.select(F.col("key").cast("string").alias("id"), "y", "text"))
-    one = one.groupBy("id").agg(F.min(F.struct("terms", "counts", "y")).alias("r")).select("id", "r.y", "r.terms", "r.counts").toArrow()
-    lists = [[x.values.to_numpy() for x in one.column(c)] for c in ("terms", "counts")]
-    sample = list(zip(one.column("id").to_pylist(), one.column("y").to_pylist(), [t.view(np.uint64) for t in lists[0]], lists[1], strict=True))
-    model = Model(sorted(sample, key=lambda r: (len(r[0]), r[0])), totals, s)
-    if model.index is not None:
-        at = calibrators(model)
-        model.curve = isotonic(loo_votes(spark, model), model.index.y[at], model.index.copies[at])
-    return model
+    one = one.groupBy("id").agg(F.min(F.struct("terms", "counts", "y")).alias("r")).select("id", "r.y", "r.terms", "r.counts")
 
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = []
+        for batch in batches:
+            ids, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lists = [[x.values.to_numpy().copy() for x in batch.column(k)] for k in (2, 3)]
+            sample += zip(ids, labels, [t.view(np.uint64) for t in lists[0]], lists[1], strict=True)
+        model = Model(sorted(sample, key=lambda r: (len(r[0]), r[0])), totals, s)
+        del sample
+        if model.index is not None:
+            at = calibrators(model)
+            votes = np.array([model.vote(*model.index.of_row(r), skip=r)[0] for r in at.tolist()])
+            model.curve = isotonic(votes, model.index.y[at], model.index.copies[at])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.bare(), 5)], pa.binary())], names=["model"])
 
-def calibrators(model: Model) -> np.ndarray:
-    """Rows of the index that are asked for votes: every one, or equally spaced ones."""
-    n = model.index.n
-    return np.unique(np.linspace(0, n - 1, min(n, model.s.calibration_rows)).astype(np.int64))
+    # the sample is bounded, so one task takes it; the driver only passes on what that returns
+    built = one.coalesce(1).mapInArrow(build, "model binary").collect()
+    return bytes(built[0]["model"]) if built else pickle.dumps(Model([], totals, s), 5)
 
 
-def loo_votes(spark, model: Model) -> np.ndarray:
-    """Votes of the others on the calibrators, in their order."""
-    rows = calibrators(model)
-    shared = spark.sparkContext.broadcast(model)
+def load(stored: bytes) -> Model:
+    return pickle.loads(stored)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        rows = calibrators(model)
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            votes = [model.vote(*model.index.of_row(r), skip=r)[0] for r in rows[at].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(votes, pa.float64())], names=["at", "vote"])
 
-    got = spark.range(0, len(rows), 1, max(1, min(32, len(rows) // 64))).mapInArrow(run, "at long, vote double").toArrow()
-    shared.unpersist()
-    out = np.empty(len(rows))
-    out[got.column("at").to_numpy()] = got.column("vote").to_numpy()
-    return out
+def calibrators(model: Model) -> np.ndarray:
+    """Rows of the index that are asked for votes of the others: every one, or equally spaced ones."""
+    n = model.index.n
+    return np.unique(np.linspace(0, n - 1, min(n, model.s.calibration_rows)).astype(np.int64))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with `score`, `predicted` and `evidence` (the three nearest examples as id:cosine)."""
+def score(docs: DataFrame, model: bytes, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with `score`, `predicted` and `evidence` (the three nearest examples as id:cosine), by a model that `fit` stored."""
     kept = set(others(docs, ("score", "predicted", "evidence")))
     own = [(k, f) for k, f in enumerate(docs.schema.fields) if f.name in kept and (keep_text or f.name != text)]
     schema = T.StructType([f for _, f in own] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model.bare())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = load(shared.value)
         counter = TermCounter()
         known: dict = {}  # copies of a text are scored once
         for whole in batches:
@@ -346,7 +342,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
     return map_arrow(docs, run, schema)
 
 
-def learned(spark, sf_dir: str) -> Model:
+def learned(spark, sf_dir: str) -> bytes:
     """The model of the folds that may be learned from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(fold("doc_id", 3) != 1)
     return fit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), labels)
