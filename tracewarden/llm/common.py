@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +157,14 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on after their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def split_count(total: int, per_part: int, least: int = 1) -> int:
     """Parts of bounded size: grows with the input."""
     return max(least, -(-int(total or 0) // per_part))

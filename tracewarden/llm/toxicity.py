@@ -9,7 +9,8 @@ text has take part in a text's length.
 
 The sample's unit vectors lie in inverted lists, cut into blocks of neighbouring rows, with
 the largest weight of every term in every block. A text's blocks are scored from the highest
-upper bound down until none left can reach the k-th best, so the neighbours are exact. Only
+upper bound down until none left can reach the k-th best, so the neighbours are exact (up to
+the single precision that weights are stored in; sums are in double precision). Only
 rows with a word in common are neighbours. Votes weigh 1 / (1 - cosine + `near`); isotonic
 regression of the leave-one-out votes of up to about `calibration_rows` sample rows turns
 them into probabilities. A text without any word of the sample (null and empty ones, too)
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import column, fold, map_arrow, others
+from tracewarden.llm.common import column, fold, map_arrow, others, release
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -63,7 +64,7 @@ class TermCounter(dict):
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the text's different words, rising, and their counts."""
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         counts = Counter(WORD.findall(text.lower())) if text else {}
         terms = np.fromiter(map(self.__getitem__, counts), np.uint64, len(counts))
@@ -146,7 +147,7 @@ class BlockIndex:
         done = 0
         while done < len(order):
             # a block whose bound equals the k-th cosine may hold a tie in a lower row
-            ahead = order[done : done + 8] if len(cos) < k else order[done:][bound[order[done:]] >= cos[k - 1] - 1e-12]
+            ahead = order[done : done + 8] if len(cos) < k else order[done:][bound[order[done:]] >= cos[k - 1] - 1e-6]
             if not len(ahead):
                 break
             blocks, done = ahead, done + len(ahead)
@@ -159,10 +160,10 @@ class BlockIndex:
             score = score + np.bincount(local, np.repeat(share[here], sizes) * self.weight[at], minlength=len(score))
             found = np.flatnonzero(score > 0)
             if len(found) > k:
-                found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-9]
+                found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-6]
             rows = np.concatenate([rows, blocks[found // self.block] * self.block + found % self.block])
             cos = np.concatenate([cos, score[found]])
-            best = np.lexsort((rows, -np.round(cos, 12)))[:k]
+            best = np.lexsort((rows, -np.round(cos, 6)))[:k]  # as exact as stored weights are
             rows, cos = rows[best], cos[best]
         return rows, cos, done
 
@@ -213,13 +214,16 @@ class Model:
             norm = np.sqrt(np.bincount(row, weight * weight, minlength=n))
             self.index = BlockIndex(start, term, weight / norm[row], y.astype(int).tolist(), [r[0] for r in sample], copies.tolist(), size, s.block)
 
-    def bare(self) -> Model:
-        """The model without what only learning needs, for scoring."""
+    def stored(self) -> bytes:
+        """The model without what only learning needs, weights in single precision, packed; see load()."""
         out = copy(self)
         if self.index is not None:
             out.index = copy(self.index)
             out.index.rows = None
-        return out
+            for name in ("weight", "most", "dense"):
+                setattr(out.index, name, getattr(self.index, name).astype(np.float32))
+        raw = pickle.dumps(out, 5)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the terms that the sample has, as part of a unit vector over all terms."""
@@ -292,15 +296,23 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: str
             at = calibrators(model)
             votes = np.array([model.vote(*model.index.of_row(r), skip=r)[0] for r in at.tolist()])
             model.curve = isotonic(votes, model.index.y[at], model.index.copies[at])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.bare(), 5)], pa.binary())], names=["model"])
+        stored = model.stored()
+        del model
+        yield pa.RecordBatch.from_arrays([pa.array([stored], pa.binary())], names=["model"])
+        del stored
+        release()
 
     # the sample is bounded, so one task takes it; the driver only passes on what that returns
     built = one.coalesce(1).mapInArrow(build, "model binary").collect()
-    return bytes(built[0]["model"]) if built else pickle.dumps(Model([], totals, s), 5)
+    return bytes(built[0]["model"]) if built else Model([], totals, s).stored()
 
 
 def load(stored: bytes) -> Model:
-    return pickle.loads(stored)
+    """The model that fit() stored; sums are in double precision."""
+    model = pickle.loads(pa.decompress(stored[8:], decompressed_size=int.from_bytes(stored[:8], "little"), codec="zstd", asbytes=True))
+    if model.index is not None:
+        model.index.dense = model.index.dense.astype(np.float64)
+    return model
 
 
 def calibrators(model: Model) -> np.ndarray:
@@ -333,11 +345,13 @@ def score(docs: DataFrame, model: bytes, text: str = "text", keep_text: bool = T
                     scored = model.scores([counter.of(new[k]) for k in part])
                     known.update((k, (p, int(p >= model.s.threshold), ",".join(f"{i}:{c:.4f}" for i, c in evidence))) for k, (p, evidence) in zip(part, scored, strict=True))
                 out = [known[k] for k in keys]
-                if len(known) > 20_000:
+                if len(known) > 10_000:
                     known.clear()
                 columns = [batch.column(k) for k, _ in own]
                 columns += [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        del model, counter, known
+        release()
 
     return map_arrow(docs, run, schema)
 
