@@ -27,6 +27,25 @@ def resource_history(events: DataFrame, resource: str, start: int = EARLIEST, en
     return rows.select("timestamp", "event_type", "user_id", "device_id", "app_id", "location", "seq").orderBy("timestamp", "seq")
 
 
+def device_history(events: DataFrame, device: str, start: int = EARLIEST, end: int = LATEST) -> DataFrame:
+    """A device's events by time, ties in file order."""
+    rows = in_range(events.filter(F.col("device_id") == device), start, end)
+    return rows.select("timestamp", "event_type", "user_id", "app_id", "resource_id", "location", "seq").orderBy("timestamp", "seq")
+
+
+def app_history(events: DataFrame, app: str, start: int = EARLIEST, end: int = LATEST) -> DataFrame:
+    """An app's events by time, ties in file order."""
+    rows = in_range(events.filter(F.col("app_id") == app), start, end)
+    return rows.select("timestamp", "event_type", "user_id", "device_id", "resource_id", "location", "seq").orderBy("timestamp", "seq")
+
+
+def without(events: DataFrame, column: str, value: str) -> DataFrame:
+    """The log but the events of one user, device, app or resource; places stay."""
+    if column not in CODED:
+        raise ValueError(f"{column} is none of {CODED}")
+    return events.filter(F.col(column) != value)
+
+
 def status(events: DataFrame, column: str, value: str, start: int = EARLIEST, end: int = LATEST) -> str:
     """'unknown' if the value never occurs, 'empty' if not in the range, else 'found'."""
     of = events.filter(F.col(column) == value)

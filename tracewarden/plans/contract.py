@@ -69,6 +69,9 @@ QUERIES = {
     "top10_modulo_ties": lambda s, d: journeys.top_resources(derived_log(s, d), START, END, buckets=7),
     "user_journey": lambda s, d: _ordered_journey(journeys.user_journey(derived_log(s, d), USER, START, END), "timestamp", "event_type", "device_id", "app_id", "resource_id", "location"),
     "resource_history": lambda s, d: _ordered_journey(journeys.resource_history(derived_log(s, d), RESOURCE), "timestamp", "event_type", "user_id", "device_id", "app_id", "location"),
+    "device_history": lambda s, d: journeys.device_history(derived_log(s, d), "D00005", START, END),
+    "app_history": lambda s, d: journeys.app_history(derived_log(s, d), "APP0007", END, START),
+    "log_without_user": lambda s, d: journeys.without(derived_log(s, d), "user_id", USER),
     "time_range_filter": lambda s, d: journeys.in_range(derived_log(s, d), START, END),
     "dedup_rows": _duplicated,
     "dictionary_ranks": lambda s, d: journeys.dictionary(derived_log(s, d)),
@@ -168,6 +171,9 @@ ORACLES = {
     "top10_modulo_ties": _top(f"timestamp BETWEEN {START} AND {END}", order="id % 7, hit DESC"),
     "user_journey": f"WITH {EV} SELECT timestamp, event_type, device_id, app_id, resource_id, location, seq, {UTC} AS time_utc FROM ev WHERE user_id = '{USER}' AND timestamp BETWEEN {START} AND {END}",
     "resource_history": f"WITH {EV} SELECT timestamp, event_type, user_id, device_id, app_id, location, seq, {UTC} AS time_utc FROM ev WHERE resource_id = '{RESOURCE}' AND timestamp BETWEEN 0 AND 2000000000",
+    "device_history": f"WITH {EV} SELECT timestamp, event_type, user_id, app_id, resource_id, location, seq FROM ev WHERE device_id = 'D00005' AND timestamp BETWEEN {START} AND {END}",
+    "app_history": f"WITH {EV} SELECT timestamp, event_type, user_id, device_id, resource_id, location, seq FROM ev WHERE app_id = 'APP0007' AND timestamp BETWEEN {START} AND {END}",
+    "log_without_user": f"WITH {EV} SELECT * FROM ev WHERE user_id <> '{USER}'",
     "time_range_filter": f"WITH {EV} SELECT * FROM ev WHERE timestamp BETWEEN {START} AND {END}",
     "dedup_rows": f"WITH {EV}, u AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (seq + 10000000 AS seq) FROM ev WHERE seq % 7 = 0) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id, device_id, app_id, resource_id, event_type, location, timestamp ORDER BY seq) = 1",
     "dictionary_ranks": f"WITH {EV}, u AS (SELECT user_id AS value, seq * 4 AS pos FROM ev UNION ALL SELECT device_id, seq * 4 + 1 FROM ev UNION ALL SELECT app_id, seq * 4 + 2 FROM ev UNION ALL SELECT resource_id, seq * 4 + 3 FROM ev), f AS (SELECT value, min(pos) AS pos FROM u GROUP BY value) SELECT value, row_number() OVER (ORDER BY pos) - 1 AS id FROM f",

@@ -35,6 +35,7 @@ SEVERITY = {
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
+# The rules' thresholds.
 @dataclass(frozen=True)
 class Thresholds:
     """How many events within how many seconds make each rule fire."""
