@@ -10,15 +10,13 @@ CODED = ("user_id", "device_id", "app_id", "resource_id")
 
 
 def greedy_gap(hits: DataFrame, keys: list[str], gap: str) -> DataFrame:
-    """Of the hits (`_i`) of each key, in order: the first, then always the first at least `gap` rows later.
+    """Of the hits (number `_i`, in run `_run`) of each key, in order: the first, then always the first at least `gap` rows later.
 
     Consecutive hits form runs, inside which every gap-th is taken, so only runs matter. Runs
     less than a gap apart form islands, each folded alone: the first hit of an island is taken
     whatever came before. What is gathered is an island's runs, not its rows. The gap is the
     same in all rows of a key.
     """
-    w = Window.partitionBy(*keys).orderBy("_i")
-    hits = hits.withColumn("_run", F.col("_i") - F.row_number().over(w))
     runs = hits.groupBy(*keys, "_run").agg(F.min("_i").alias("s"), F.max("_i").alias("e"), F.min(gap).alias("k"))
     r = Window.partitionBy(*keys).orderBy("s")
     fresh = (F.col("s") - F.lag("e").over(r)) >= F.col("k")

@@ -65,7 +65,7 @@ USER = Sequence("user_id", ("timestamp", "seq"))
 
 @dataclass(frozen=True)
 class Hits:
-    """Marks of a rule: where it hits, its place among an event's alerts, which alert of the event, rows to re-arm (0: none) and the row's number for that."""
+    """Marks of a rule: where it hits, its place among an event's alerts, which alert of the event, rows to re-arm (0: none), and for that the row's number and that of its run of hits."""
 
     rule: str
     hit: Column
@@ -73,6 +73,12 @@ class Hits:
     fire: Column
     gap: int = 0
     at: Column | None = None
+    run: Column | None = None
+
+
+def with_runs(rows: DataFrame, by: Sequence, hits: dict[str, str]) -> DataFrame:
+    """rows with `<hit>_run` for columns of hits: a row's number less the hits so far is the same all along a run of hits."""
+    return rows.withColumns({f"{hit}_run": F.col(at) - by.so_far(f"count_if({hit})") for hit, at in hits.items()})
 
 
 def user_marks(rows: DataFrame, t: Thresholds, only: frozenset[str]) -> tuple[DataFrame, list[Hits]]:
@@ -86,20 +92,26 @@ def user_marks(rows: DataFrame, t: Thresholds, only: frozenset[str]) -> tuple[Da
     third: dict[str, Column] = {}
     marks: list[Hits] = []
 
-    def mark(rule: str, hit: Column, order: int | Column, fire: int | Column = 1, gap: int = 0, at: str | None = None) -> None:
+    def mark(rule: str, hit: Column, order: int | Column, fire: int | Column = 1) -> None:
         order, fire = (F.lit(x) if isinstance(x, int) else x for x in (order, fire))
-        marks.append(Hits(rule, hit, order, fire, gap, F.col(at) if at else None))
+        marks.append(Hits(rule, hit, order, fire))
+
+    runs: dict[str, str] = {}
+
+    def rearming(rule: str, hit: str, order: int, gap: int, at: str) -> None:
+        runs[hit] = at
+        marks.append(Hits(rule, F.col(hit), F.lit(order), F.lit(1), gap, F.col(at), F.col(f"{hit}_run")))
 
     if "BRUTE_FORCE" in only:
         k, seconds = t.brute_force
         first |= {"_fails": USER.so_far(f"count_if({failed})"), "_forced": USER.within(failed, k, seconds)}
-        mark("BRUTE_FORCE", F.col("_forced"), 1, 1, k, "_fails")
+        rearming("BRUTE_FORCE", "_forced", 1, k, "_fails")
     if only & {"DEVICE_HOPPING", "RAPID_SESSION"}:
         first["_logins"] = USER.so_far(f"count_if({login})")
     if "DEVICE_HOPPING" in only:
         k, seconds = t.device_hopping
         first["_hopped"] = USER.within(login, k, seconds) & (USER.values("device_id", login, k) >= k)
-        mark("DEVICE_HOPPING", F.col("_hopped"), 2, 1, k, "_logins")
+        rearming("DEVICE_HOPPING", "_hopped", 2, k, "_logins")
     if "OUT_OF_HOURS" in only:
         first["_out"] = USER.so_far("count_if(_outside)")
         mark("OUT_OF_HOURS", F.col("_outside") & (F.col("_out") == 1), 4)
@@ -110,7 +122,7 @@ def user_marks(rows: DataFrame, t: Thresholds, only: frozenset[str]) -> tuple[Da
         k, seconds = t.country_changes
         moved = f"location <> '{HOME}' AND (_place IS NULL OR _place <> location)"
         second |= {"_moves": USER.so_far(f"count_if({moved})"), "_toured": USER.within(moved, k, seconds) & (USER.values("location", moved, k) >= t.countries)}
-        mark("MULTI_COUNTRY_HOPPING", F.col("_toured"), 6, 1, k, "_moves")
+        rearming("MULTI_COUNTRY_HOPPING", "_toured", 6, k, "_moves")
     if only & {"LONG_SESSION", "DANGER_CHAIN"}:
         # the latest edge before the row says whether a session is open; rows are in time order, so the latest login's time is the greatest
         first["_edge"] = USER.before("last(IF(event_type IN ('LOGIN', 'LOGOUT'), event_type, NULL), true)")
@@ -129,7 +141,7 @@ def user_marks(rows: DataFrame, t: Thresholds, only: frozenset[str]) -> tuple[Da
     if "RAPID_SESSION" in only:
         k, seconds = t.rapid_session
         first["_rapid"] = USER.within(login, k, seconds)
-        mark("RAPID_SESSION", F.col("_rapid"), 9, 1, k, "_logins")
+        rearming("RAPID_SESSION", "_rapid", 9, k, "_logins")
     if "BRUTE_FORCE_SUCCESS" in only:
         second["_other"] = F.coalesce(USER.before(f"max(IF({failed}, NULL, _n))"), F.lit(0))
         mark("BRUTE_FORCE_SUCCESS", F.expr(login) & (F.col("_n") - 1 - F.col("_other") >= t.failures_before_login), 11)
@@ -156,7 +168,7 @@ def user_marks(rows: DataFrame, t: Thresholds, only: frozenset[str]) -> tuple[Da
         # dangers before the latest login, itself included: it is none
         rows = rows.withColumn("_before", F.coalesce(USER.so_far(f"max(IF({login}, _dangers, NULL))"), F.lit(0)))
         mark("DANGER_CHAIN", F.col("_bad") & ((F.col("_dangers") - F.col("_before")) % t.danger_actions == 0), 8)
-    return rows, marks
+    return with_runs(rows, USER, runs) if runs else rows, marks
 
 
 def device_marks(rows: DataFrame, t: Thresholds, only: frozenset[str], order: tuple[str, ...]) -> tuple[DataFrame, list[Hits]]:
@@ -166,7 +178,8 @@ def device_marks(rows: DataFrame, t: Thresholds, only: frozenset[str], order: tu
     if "RESOURCE_SCAN" in only:
         k, seconds = t.resource_scan
         rows = rows.withColumns({"_n": device.over("row_number()"), "_scanned": device.within("true", k, seconds) & (device.values("resource_id", "true", k) >= k)})
-        marks.append(Hits("RESOURCE_SCAN", F.col("_scanned"), F.lit(3), F.lit(1), k, F.col("_n")))
+        rows = with_runs(rows, device, {"_scanned": "_n"})
+        marks.append(Hits("RESOURCE_SCAN", F.col("_scanned"), F.lit(3), F.lit(1), k, F.col("_n"), F.col("_scanned_run")))
     if "COMPROMISED_DEVICE" in only:
         k, seconds = t.compromised_device
         rows = rows.withColumn("_shared", device.within(login, k, seconds) & (device.values("user_id", login, k) >= k))
@@ -176,7 +189,7 @@ def device_marks(rows: DataFrame, t: Thresholds, only: frozenset[str], order: tu
 
 
 def hits_of(rows: DataFrame, marks: list[Hits], key: str) -> DataFrame:
-    """One row a hit: an alert's columns, `_key`, `_gap` and `_i`."""
+    """One row a hit: an alert's columns, `_key`, `_gap`, `_i` and `_run`."""
     none = F.lit(None).cast("long")
     found = [
         F.when(
@@ -188,6 +201,7 @@ def hits_of(rows: DataFrame, marks: list[Hits], key: str) -> DataFrame:
                 m.fire.cast("int").alias("fire_no"),
                 F.lit(m.gap).cast("int").alias("_gap"),
                 (none if m.at is None else m.at.cast("long")).alias("_i"),
+                (none if m.run is None else m.run.cast("long")).alias("_run"),
             ),
         )
         for m in marks
