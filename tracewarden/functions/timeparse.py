@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.schema import DEFAULTS, EARLIEST, LATEST
 
+LAST_YEAR = 2100  # of a time that people type, as the engine that is matched has it
+
 
 def epoch_text(seconds: Column) -> Column:
     """UTC text 'YYYY-MM-DD HH:MM:SS', whatever the session's time zone."""
@@ -31,28 +33,28 @@ def parse_time(text: str) -> int | None:
     if not m:
         return None
     y, mo, d, h, mi, s = (int(g) if g else 0 for g in m.groups())
-    if not (1970 <= y <= 2100 and 1 <= mo <= 12 and 1 <= d <= 31 and h <= 23 and mi <= 59 and s <= 59):
+    if not (1970 <= y <= LAST_YEAR and 1 <= mo <= 12 and 1 <= d <= 31 and h <= 23 and mi <= 59 and s <= 59):
         return None
     return calendar.timegm((y, mo, 1, 0, 0, 0)) + (d - 1) * 86_400 + h * 3600 + mi * 60 + s
 
 
-def text_epoch(text: Column) -> Column:
-    """parse_time of a column."""
+def text_epoch(text: Column, last_year: int = LAST_YEAR) -> Column:
+    """parse_time of a column; times of a log that runs further need a later `last_year` (9999 at most)."""
 
     def part(k: int) -> Column:
         got = F.regexp_extract(text, r"^\s*([+-]?\d+)-(\d+)-(\d+)(?:\s+(\d+)(?::(\d+)(?::(\d+))?)?)?", k)
         return F.coalesce(F.when(got == "", None).otherwise(got).try_cast("long"), F.lit(0))
 
     year, month, day, hour, minute, second = (part(k) for k in range(1, 7))
-    fine = year.between(1970, 2100) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 59)
+    fine = year.between(1970, last_year) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 59)
     first = F.when(fine, F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
     return (F.datediff(first, F.lit("1970-01-01").cast("date")).cast("long") + day - 1) * 86_400 + hour * 3600 + minute * 60 + second
 
 
-def literal_epoch(text: Column, default: int) -> Column:
+def literal_epoch(text: Column, default: int, last_year: int = LAST_YEAR) -> Column:
     """time_literal of a column."""
     bare = F.btrim(text)
-    return F.when(bare == "", F.lit(default).cast("long")).when(bare.rlike(r"^-?\d+$"), bare.try_cast("long")).otherwise(text_epoch(bare))
+    return F.when(bare == "", F.lit(default).cast("long")).when(bare.rlike(r"^-?\d+$"), bare.try_cast("long")).otherwise(text_epoch(bare, last_year))
 
 
 def time_literal(text: str, default: int) -> int | None:
