@@ -5,8 +5,9 @@ sequence have one of their own. The others are dealt by a hash to regions of bou
 Several islands work on each region, each with a population of packings of all its pieces.
 In a generation a child takes over whole well-filled bins of one parent; bins of the other
 that share a document with them go, and the documents displaced are put in by best fit.
-Fewer bins win, then fuller ones (the mean square of how full they are), and evolution goes
-on until nothing can be better. After an epoch each island's elite packing migrates to the
+Fewer bins win, then fuller ones (the mean square of how full they are). Evolution goes on
+while there may be fewer bins, until `patience` children in a row bring nothing better; where
+there can't be fewer, `generations` make them fuller. After an epoch each island's elite packing migrates to the
 next island of its region, where it joins the population. Bins of a region's best packing
 that are full enough are final; documents of its other bins are dealt to new regions, and
 evolve again, until few are left, which one last round packs.
@@ -178,7 +179,8 @@ class Population:
 
     def __init__(self, lengths: list[int], size: int, rnd: random.Random):
         self.lengths, self.size, self.rnd, self.packs = lengths, size, rnd, []
-        self.least = -(-sum(lengths) // size)
+        # pieces over half a bin have one each
+        self.least = max(-(-sum(lengths) // size), sum(2 * n > size for n in lengths))
         self.crossovers = 0
 
     def fill(self, into: Packing, items: list[int]) -> Packing:
@@ -230,16 +232,17 @@ class Population:
         self.crossovers += 1
         return self.fill(child, sorted(displaced, key=lambda i: -self.lengths[i] * (1 + noise * rnd.random())))
 
-    def evolve(self, generations: int) -> None:
-        """Each generation a child of two of the better packings replaces the worst, if it isn't worse itself."""
+    def evolve(self, generations: int, patience: int = 0) -> None:
+        """Each generation a child of two of the better packings replaces the worst, if it isn't worse itself. After `generations`, until `patience` of them in a row bring nothing better or bins can't be fewer."""
         self.rank()
-        for _ in range(generations):
-            if self.solved() or len(self.packs) < 2:
-                break
+        done = idle = 0
+        while len(self.packs) > 1 and not self.solved() and (done < generations or (idle < patience and len(self.packs[0].bins) > self.least)):
+            best = self.packs[0]
             a, b = self.rnd.sample(self.packs[: max(2, len(self.packs) - 1)], 2)
             self.packs.append(self.cross(a, b))
             self.rank()
             self.packs.pop()
+            done, idle = done + 1, idle + 1 if self.packs[0] is best else 0
 
     def bins_of(self, pack: Packing) -> list[int]:
         out = [0] * len(self.lengths)
@@ -252,7 +255,7 @@ class Population:
 ISLAND = "region long, island int, uid array<long>, length array<long>, packs array<array<int>>, first_bins int, bins int, fitness double, crossovers int"
 
 
-def evolve_islands(islands: DataFrame, size: int, generations: int, population: int, seed: int) -> DataFrame:
+def evolve_islands(islands: DataFrame, size: int, generations: int, population: int, seed: int, patience: int = 0) -> DataFrame:
     """One epoch of every island; `guest` is the elite packing that has migrated to it."""
     kind = to_arrow_schema(T._parse_datatype_string(ISLAND))
 
@@ -266,7 +269,7 @@ def evolve_islands(islands: DataFrame, size: int, generations: int, population:
                 if not there.packs:
                     there.start(population)
                     r["first_bins"] = len(there.packs[0].bins)
-                there.evolve(generations)
+                there.evolve(generations, patience)
                 best = there.packs[0]
                 packs = [there.bins_of(p) for p in there.packs[:population]]
                 out.append(r | {"packs": packs, "bins": len(best.bins), "fitness": best.fitness(), "crossovers": (r["crossovers"] or 0) + there.crossovers})
@@ -275,7 +278,7 @@ def evolve_islands(islands: DataFrame, size: int, generations: int, population:
     return islands.mapInArrow(run, ISLAND)
 
 
-def evolve_regions(pieces: DataFrame, size: int, region: int, islands: int, epochs: int, generations: int, population: int, seed: int) -> DataFrame:
+def evolve_regions(pieces: DataFrame, size: int, region: int, islands: int, epochs: int, generations: int, population: int, seed: int, patience: int = 0) -> DataFrame:
     """The last state of all islands. Islands of a region hold the same pieces; after each epoch their elites move on to the next island."""
     total = pieces.count()
     regions = split_count(total, region, 1)
@@ -286,10 +289,10 @@ def evolve_regions(pieces: DataFrame, size: int, region: int, islands: int, epoc
     blank = {"packs": "array<array<int>>", "first_bins": "int", "bins": "int", "fitness": "double", "crossovers": "int", "guest": "array<int>"}
     state = first.select("*", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
     # one island a task as far as 200 tasks go
-    now = materialise(evolve_islands(state.repartition(max(1, min(regions * islands, 200)), "region", "island"), size, generations, population, seed), "islands")
+    now = materialise(evolve_islands(state.repartition(max(1, min(regions * islands, 200)), "region", "island"), size, generations, population, seed, patience), "islands")
     for epoch in range(1, epochs if islands > 1 else 1):
         guests = now.select("region", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.element_at("packs", 1).alias("guest"))
-        after = materialise(evolve_islands(now.join(guests, ["region", "island"]), size, generations, population, seed + 1000 * epoch), "islands")
+        after = materialise(evolve_islands(now.join(guests, ["region", "island"]), size, generations, population, seed + 1000 * epoch, patience), "islands")
         discard(pieces.sparkSession, now)
         now = after
     return now
@@ -317,7 +320,7 @@ def placed_pieces(state: DataFrame, size: int) -> DataFrame:
     return best.select("b").mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, size: int, region: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 4, population: int = 3, rounds: int = 3, settled: float = 0.995) -> DataFrame:
+def pack(pieces: DataFrame, size: int, region: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 4, population: int = 8, rounds: int = 3, settled: float = 0.995, patience: int = 32) -> DataFrame:
     """uid, sequence_id and offset of pieces (uid long, length long), which must be a table that reads the same again."""
     spark = pieces.sparkSession
     whole = pieces.filter(F.col("length") >= size).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -328,7 +331,7 @@ def pack(pieces: DataFrame, size: int, region: int = 4096, islands: int = 2, epo
         if not total:
             break
         last = n == rounds - 1 or total <= region
-        state = evolve_regions(left, size, region, islands, epochs, generations, population, n)
+        state = evolve_regions(left, size, region, islands, epochs, generations, population, n, patience)
         out = materialise(placed_pieces(state, size), "packed")
         discard(spark, state)
         final = F.lit(True) if last else F.col("free") <= int(size * (1 - settled))
