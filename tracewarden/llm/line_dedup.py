@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm.common import column, discard, materialise, others
 
-SPACES, FILLED = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
+SPACES = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -36,32 +36,54 @@ def plain_line(line: Column) -> Column:
     return F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(bare, SPACES, " ")).otherwise(bare)
 
 
+def filled(line: Column) -> Column:
+    """Whether a line has a word."""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
+
+
 def line_hashes(plain: str) -> list[Column]:
     """Two hashes of a plain line, which name it."""
     return [F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(1), plain).alias("h2")]
 
 
-def part_keys(plain: str, n: str, least: int) -> Column:
-    """Hashes of thirds of a line of n words: two lines with an equal variant have one in common.
+def with_part_keys(lines: DataFrame, plain: str, n: str, least: int) -> DataFrame:
+    """lines with `parts`, hashes of thirds of a line of n words: two lines with an equal variant have one in common.
 
     Of lines with as many words: the first or the last third if a word left out lies in the
     middle or both lie in the same third, else the middle, one place further in one of them.
-    If one line is a word longer, its first or last third by the size of the shorter. Thirds
-    are cut out of the text: its words are never put apart.
+    If one line is a word longer, its first or last third by the size of the shorter. The first
+    and the last third are cut out of the text, and the rest of it by their lengths: words are
+    never put apart, and no part of a line is searched twice.
     """
     line, size = F.col(plain), F.col(n)
 
-    def head(text: Column, words: Column) -> Column:
-        return F.call_function("substring_index", text, F.lit(" "), words.cast("int"))
-
-    def ends(s: Column) -> list[Column]:
-        third = F.floor(s / 3)
-        return [F.xxhash64(F.lit(0), s, head(line, third)), F.xxhash64(F.lit(1), s, head(line, -third))]
-
-    third = F.floor(size / 3)
-    middle = [F.xxhash64(F.lit(2), size, head(head(line, size - third - k), -(size - 2 * third))) for k in (0, 1)]
-    own = [*ends(size), *middle]
-    return F.when(size < least, F.array().cast("array<bigint>")).when(size == least, F.array(*own)).otherwise(F.array(*own, *ends(size - 1)))
+    def words(text: Column, count: Column | int) -> Column:
+        return F.call_function("substring_index", text, F.lit(" "), F.lit(count).cast("int"))
+
+    def cut(start: Column, length: Column) -> Column:
+        """Bytes of the line, from place 0."""
+        return F.substring(line.cast("binary"), (start + 1).cast("int"), length.cast("int")).cast("string")
+
+    def two(seed: int, s: Column, text: Column) -> Column:
+        return F.xxhash64(F.lit(seed), s, text)
+
+    long, third, whole = size >= least, F.floor(size / 3), F.octet_length(line)
+    space = F.when(third > 0, 1).otherwise(0)  # lines of one or two words have no ends
+    rows = lines.withColumns({"_head": F.when(long, words(line, third)), "_tail": F.when(long, words(line, -third))})
+    head, tail = F.col("_head"), F.col("_tail")
+    rows = rows.withColumns({"_a": F.octet_length(head), "_c": F.octet_length(tail), "_last": F.octet_length(words(head, -1))})
+    rows = rows.withColumn("_middle", F.when(long, cut(F.col("_a") + space, whole - F.col("_a") - F.col("_c") - 2 * space)))
+    middle, last = F.col("_middle"), F.col("_last")
+    # one place further: with the word before it, without its last one
+    moved = cut(F.col("_a") - last, last + F.octet_length(middle) - F.octet_length(words(middle, -1)) + space - 1)
+    own = [two(0, size, head), two(1, size, tail), two(2, size, middle), two(2, size, moved)]
+    # by the size of a line that is a word shorter; a third of that has a word less if size is a multiple of three
+    less = size % 3 == 0
+    shorter = F.when(less, cut(F.lit(0), F.col("_a") - last - 1)).otherwise(head)
+    first = F.octet_length(words(tail, 1))
+    later = F.when(less, cut(whole - F.col("_c") + first + 1, F.col("_c") - first - 1)).otherwise(tail)
+    parts = F.when(size < least, F.array().cast("array<bigint>")).when(size == least, F.array(*own)).otherwise(F.array(*own, two(0, size - 1, shorter), two(1, size - 1, later)))
+    return rows.withColumn("parts", parts).drop("_head", "_tail", "_a", "_c", "_last", "_middle")
 
 
 def without(words: str, at: str) -> Column:
@@ -144,9 +166,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     key = column(id_col)
     doc = F.struct(key.isNull().alias("absent"), key.alias("id"), F.xxhash64(column(text)).alias("text"))
     keyed = docs.select((F.struct(*map(column, rest)) if rest else F.lit(0)).alias("row"), column(text).alias("text"), doc.alias("doc"))
-    lines = keyed.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(FILLED)).select("doc", "line_no", plain_line(F.col("line")).alias("line"))
+    lines = keyed.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(filled(F.col("line"))).select("doc", "line_no", plain_line(F.col("line")).alias("line"))
     lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    lines = lines.select("doc", "line_no", "n", *line_hashes("line"), part_keys("line", "n", min_words).alias("parts"))
+    lines = with_part_keys(lines, "line", "n", min_words).select("doc", "line_no", "n", *line_hashes("line"), "parts")
     lines = materialise(lines, "lines", pack=False)
     here = F.struct("doc", "line_no")
     distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")), "distinct")
@@ -166,10 +188,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     all_lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.concat("exact", "near"))
     kept = F.when(F.size("exact") + F.size("near") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(all_lines, k + 1)), "\n"))
-    filled = F.size(F.filter(all_lines, lambda line: line.rlike(FILLED)))
+    n_lines = F.size(F.filter(all_lines, filled))
     return out.select(
         *[(kept if c == text else F.col("row").getField(c)).alias(c) for c in own],
-        F.when(F.col("text").isNull(), 0).otherwise(filled).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
         F.size("exact").cast("long").alias("n_exact"),
         F.size("near").cast("long").alias("n_near"),
     )
